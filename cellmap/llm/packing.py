@@ -13,13 +13,13 @@ groups, until one group is left.
 from __future__ import annotations
 
 import functools
+import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -36,19 +36,20 @@ LOOSE = 1 / 64
 MOST_LEVELS = 5
 #: Words that a worker keeps the ids of.
 MOST_WORDS = 600_000
-#: The splitter's parts of a word, and what may be split here: Latin letters in composed form, without special tokens.
-PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
-PLAIN = regex.compile(rb"(?:[!-;=-~]|<(?!\|)|\xc3[\x80-\xbf])+")
+#: The splitter's parts of a lower-case word, for words of ASCII and the Latin letters U+00C0 to U+00FF without special tokens.
+PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
+PLAIN = re.compile(rb"(?:[!-;=-~]|<(?!\|)|\xc3[\x80-\xbf])+")
 
 
 # ---------------------------------------------------------------- tokens
 
 
 class WordIds(dict):
-    """Ids of each word as little-endian 32-bit numbers, looked up once by the library.
+    """Ids of each word as little-endian 32-bit numbers, worked out once by the library.
 
     White space never joins words in the vocabularies for which this is used: their normaliser
-    and splitter treat what stands between white space alone.
+    and splitter treat what stands between white space alone. A word that isn't known yet
+    goes on the list ``new``.
     """
 
     def __init__(self, path: str):
@@ -56,16 +57,38 @@ class WordIds(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        vocab = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends_word[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.parts: dict[str, bytes] = {}
-
-    def learn(self, words: list[bytes]) -> None:
+        self.new: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> bytes:
+        self.new.append(word)
+        return b""
+
+    def _learn_parts(self, parts: list[str]) -> None:
+        """Parts are encoded as one text of words, and told apart by the tokens that end words."""
+        ids = np.array(self.tokenizer.encode(" ".join(parts), add_special_tokens=False).ids, "<u4")
+        ends = 4 * (np.flatnonzero(self.ends_word[ids]) + 1)
+        if len(ends) != len(parts):
+            raise ValueError("a part isn't one word of the vocabulary's splitter")
+        raw = ids.tobytes()
+        self.parts.update((p, raw[a:b]) for p, a, b in zip(parts, [0, *ends[:-1].tolist()], ends.tolist(), strict=True))
+
+    def learn(self) -> None:
         """Plain words are lower-cased and split first, and only parts that are new go to the library."""
-        split = [PARTS.findall(w.decode().lower()) if PLAIN.fullmatch(w) else [w.decode()] for w in words]
-        if new := [*{p for ps in split for p in ps if p not in self.parts}]:
-            for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                self.parts[p] = np.array(e.ids, "<u4").tobytes()
-        for w, ps in zip(words, split, strict=True):
+        words = [*dict.fromkeys(self.new)]
+        self.new.clear()
+        plain = [w for w in words if PLAIN.fullmatch(w)]
+        split = [PARTS.findall(w.decode().lower()) for w in plain]
+        if parts := [*{p for ps in split for p in ps if p not in self.parts}]:
+            self._learn_parts(parts)
+        for w, ps in zip(plain, split, strict=True):
             self[w] = b"".join(map(self.parts.__getitem__, ps))
+        if rest := [w for w in words if w not in self]:
+            for w, e in zip(rest, self.tokenizer.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False), strict=True):
+                self[w] = np.array(e.ids, "<u4").tobytes()
 
     def clear(self) -> None:
         super().clear()
@@ -82,10 +105,17 @@ def encode_texts(path: str, texts: list[str]) -> list[bytes]:
     known = word_ids(path)
     if len(known) > MOST_WORDS:
         known.clear()
-    rows = [t.encode().split() for t in texts]
-    if new := {w for row in rows for w in row if w not in known}:
-        known.learn(list(new))
-    return [b"".join(map(known.__getitem__, row)) for row in rows]
+    find, out, again = known.__getitem__, [], []
+    for i, text in enumerate(texts):
+        before, words = len(known.new), text.encode().split()
+        out.append(b"".join(map(find, words)))
+        if len(known.new) > before:
+            again.append((i, words))
+    if again:
+        known.learn()
+        for i, words in again:
+            out[i] = b"".join(map(find, words))
+    return out
 
 
 PIECE = "piece int, start long, length long, ids_crc32 long"
