@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import smallest_hashed
+
 TEXT_BUCKETS = 512
 META_BUCKETS = 128
 STATS = 10
@@ -181,10 +183,9 @@ def sample_views(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str,
         labels.filter(F.col("quality").isin(0, 1) & F.col(id_col).isNotNull())
         .groupBy(F.col(id_col).alias("_id")).agg(F.min("quality").alias("_y"), F.max("quality").alias("_y2")).filter("_y = _y2").drop("_y2")
     )
-    order = [F.xxhash64("_id"), F.col("_id")]
-    chosen = agreed.orderBy(*order).limit(most_labelled)
+    chosen = smallest_hashed(agreed, "_id", most_labelled)
     ids = docs.select(F.col(id_col).alias("_id")).filter("_id is not null").distinct()
-    free = ids.join(agreed.select("_id"), "_id", "left_anti").orderBy(*order).limit(most_unlabelled).withColumn("_y", F.lit(-1))
+    free = smallest_hashed(ids.join(agreed.select("_id"), "_id", "left_anti"), "_id", most_unlabelled).withColumn("_y", F.lit(-1))
     picked = F.broadcast(chosen.select("_id", F.col("_y").cast("int")).unionByName(free))
     mine = _view_columns(docs, text_col).withColumn("_id", F.col(id_col)).select("_id", "_t", *[f"_{c}" for c in VIEW]).join(picked, "_id")
 

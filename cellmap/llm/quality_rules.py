@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import delete_chars, one_space
+from .common import delete_chars, one_space, smallest_hashed
 
 #: The characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -176,12 +176,12 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 
     A document whose labels disagree, or that has none of 0 and 1, is left out.
     """
-    chosen = (
+    agreed = (
         labels.filter(F.col("quality").isin(0, 1) & F.col(id_col).isNotNull())
         .groupBy(F.col(id_col).alias("_id")).agg(F.min("quality").alias("quality"), F.max("quality").alias("_max"))
         .filter("quality = _max").drop("_max")
-        .orderBy(F.xxhash64("_id"), "_id").limit(most)
     )
+    chosen = smallest_hashed(agreed, "_id", most)
     mine = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), "_id")
     found = with_stats(mine, "_text").select("_id", "quality", *[e.alias(k) for k, e in feature_columns().items()])
     return [r.asDict() for r in sorted(found.collect(), key=lambda r: (r["_id"], *[r[f] for f in FEATURES]))]
