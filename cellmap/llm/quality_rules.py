@@ -188,8 +188,12 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = 10_000) -> DataFrame:
-    """``docs`` as ``row`` (a struct of all its columns), the statistics, ``base_failed`` and ``kept``."""
+    """``docs`` as ``row`` (a struct of all its columns), the statistics, ``base_failed`` and ``kept``.
+
+    A filter on ``kept`` must not be pushed below the statistics: it would evaluate the sorted
+    windows anew for each of their elements. A row number, which is never negative, holds it above.
+    """
     rules = learn_rules(labelled_rows(docs, labels, id_col, text_col, most))
     out = with_stats(docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[text_col].alias("_text")), "_text").drop("_text")
     out = out.withColumn("base_failed", base_failed())
-    return out.withColumn("kept", ~F.col("base_failed") & verdict(rules))
+    return out.withColumn("kept", ~F.col("base_failed") & verdict(rules) & (F.monotonically_increasing_id() >= 0))
