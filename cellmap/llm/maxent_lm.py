@@ -15,6 +15,7 @@ all tasks are averaged, weighted by tokens, block by block of the weight table.
 from __future__ import annotations
 
 import functools
+import itertools
 import math
 import zlib
 from collections import Counter
@@ -40,6 +41,8 @@ ROUNDS = 2
 BLOCKS = 32
 BATCH = 4_096
 RATE = 0.35
+#: Weighs against large first steps of features that are rare.
+CAUTION = 4.0
 MOST_COUNTED = 400_000
 
 
@@ -101,13 +104,30 @@ class Vocabulary:
         return math.log10(self.total + self.distinct + 1)
 
 
+def _least_count(counts: DataFrame, head: int) -> int:
+    """The least count at which at most ``head`` words are left, from a histogram of some thousand bins.
+
+    So the driver gets ``head`` rows at most, and words of equal counts are in or out together.
+    """
+    small = 1 << 12
+    fine = F.when(F.col("c") < small, F.col("c")).otherwise(small + F.floor((F.log2("c") - 12) * 64))
+    bins = counts.groupBy(fine.alias("b")).agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("c")).orderBy(F.col("b").desc()).collect()
+    least, n = (1 << 62), 0
+    for b in bins:
+        n += b["n"]
+        if n > head:
+            break
+        least = b["c"]
+    return least
+
+
 def build_vocabulary(counts: DataFrame, head: int = HEAD, classes: int = CLASSES) -> Vocabulary:
     """Classes of the ``head`` most frequent words: by the group of texts they are most in, then bands of equal mass.
 
     The last class is that of all other words, known or not; one unit of mass is for unknown ones.
     """
     all_of = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
-    rows = counts.orderBy(F.col("c").desc(), "word").limit(head).collect()
+    rows = counts.filter(F.col("c") >= _least_count(counts, head)).orderBy(F.col("c").desc(), "word").collect()
     v = Vocabulary(total=int(all_of["n"]), distinct=int(all_of["v"]))
     c = np.array([r["c"] for r in rows], np.float64)
     group = np.array([np.argmax([r[f"g{g}"] for g in range(GROUPS)]) for r in rows], np.int64)
@@ -188,19 +208,18 @@ def step(weights: np.ndarray, f: np.ndarray, target: np.ndarray, squares: np.nda
     """One gradient step on a batch, scaled per bucket by the gradients seen so far."""
     g = np.exp(log_classes(weights, f))
     g[np.arange(len(target)), target] -= 1
-    flat = f.T.ravel()
-    order = np.argsort(flat, kind="stable")
-    buckets, at = np.unique(flat[order], return_index=True)
-    total = np.add.reduceat(g[order % len(target)], at, axis=0)
+    buckets, place = np.unique(f.T.ravel(), return_inverse=True)
+    kinds = f.shape[1]
+    total = np.stack([np.bincount(place, np.tile(c, kinds), len(buckets)) for c in np.ascontiguousarray(g.T, np.float64)], axis=1)
     squares[buckets] += np.square(total).mean(axis=1)
-    weights[buckets] -= RATE * total / (1.0 + np.sqrt(squares[buckets]))[:, None]
+    weights[buckets] -= RATE * total / (CAUTION + np.sqrt(squares[buckets]))[:, None]
 
 
 def coded(encoder: Encoder, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[list[bytes]]]:
     """Codes of all tokens, where texts begin, number of tokens of each, and the tokens."""
     words = [tokens(t) for t in texts]
     n = np.array([len(w) for w in words])
-    codes = np.fromiter((encoder[x] for w in words for x in w), np.int64, int(n.sum()))
+    codes = np.fromiter(map(encoder.__getitem__, itertools.chain.from_iterable(words)), np.int64, int(n.sum()))
     first = np.zeros(len(codes), bool)
     first[np.cumsum(n) - n] = True
     return codes, first, n, words
