@@ -92,6 +92,20 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM d
 """
 
 
+OP4_SQL = r"""
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS x FROM pages),
+q AS (
+  SELECT *, max(page_id) OVER (PARTITION BY x, payload_bytes) AS best,
+         list_transform(range(8), lambda i: CAST('0x' || substr(x, CAST(5 * i + 1 AS INTEGER), 5) AS BIGINT)) AS five FROM p)
+SELECT page_id, payload_bytes,
+       array_to_string(list_transform(five, lambda v: array_to_string(list_transform([15, 10, 5, 0], lambda b: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(((v >> b) & 31) + 1 AS INTEGER), 1)), '')), '') AS payload_digest,
+       CASE WHEN page_id = best THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = best THEN NULL ELSE best END AS refers_to
+FROM q
+"""
+
+
 def queries() -> dict:
     return {
         "op1_quality_cotraining": op1_quality_cotraining,
@@ -108,4 +122,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_format": OP2_SQL, "op3_exact_dedup": OP3_SQL}
+    return {"op2_chat_format": OP2_SQL, "op3_exact_dedup": OP3_SQL, "op4_warc": OP4_SQL}
