@@ -14,7 +14,9 @@ from __future__ import annotations
 import functools
 import hashlib
 import heapq
+import itertools
 import json
+import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -27,13 +29,15 @@ from tokenizers.pre_tokenizers import ByteLevel
 MOST_WORDS = 600_000
 #: Characters that are worked on together.
 BLOCK_CHARS = 1_000_000
+#: Words of at most so many bytes are merged by scanning, longer ones by a heap.
+SHORT = 48
 
 #: White space as the vocabulary's word pattern has it (the Unicode property), and that pattern.
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 #: A run of other characters with the blank ahead of it, or white space; word borders never lie elsewhere than within or between these.
-RUNS = regex.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
+RUNS = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 WORDS = regex.compile(WORD)
 #: Characters whose classes no Unicode version has changed; others go to the library's own splitter.
 PLAIN = regex.compile(r"[\x00-\u024f]*")
@@ -85,7 +89,7 @@ class SpeculativeBpe:
         self.splitter = ByteLevel(add_prefix_space=False, use_regex=True)
         self.to_bytes = {ord(c): b for b, c in enumerate(letters)}
         self.seen: dict[str, bytes] = {}
-        self.known: dict[bytes, list[int]] = {}
+        self.known: dict[bytes, bytes] = {}
 
     def _merge(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The token that a and b merge to, or a number above all."""
@@ -120,7 +124,10 @@ class SpeculativeBpe:
         return ok
 
     def _greedy(self, word: bytes) -> list[int]:
-        out, at, n, id_of = [], 0, len(word), self.id_of
+        id_of, n = self.id_of, len(word)
+        if (t := id_of.get(word)) is not None:
+            return [t]
+        out, at = [], 0
         while at < n:
             end = min(n, at + self.longest)
             while (t := id_of.get(word[at:end])) is None:
@@ -132,6 +139,22 @@ class SpeculativeBpe:
     def _exact(self, word: bytes) -> list[int]:
         """Merge by rank, of equal ranks the leftmost first."""
         ids = [self.id_of[word[i : i + 1]] for i in range(len(word))]
+        return self._exact_short(ids) if len(ids) <= SHORT else self._exact_long(ids)
+
+    def _exact_short(self, ids: list[int]) -> list[int]:
+        merged, none = self.merged.get, 1 << 40
+        whole = [merged(a << 32 | b, none) for a, b in zip(ids, ids[1:], strict=False)]
+        while whole and (m := min(whole)) < none:
+            i = whole.index(m)
+            ids[i : i + 2] = [m]
+            del whole[i]
+            if i < len(whole):
+                whole[i] = merged(m << 32 | ids[i + 1], none)
+            if i:
+                whole[i - 1] = merged(ids[i - 1] << 32 | m, none)
+        return ids
+
+    def _exact_long(self, ids: list[int]) -> list[int]:
         after, before, n = list(range(1, len(ids) + 1)), list(range(-1, len(ids) - 1)), len(ids)
         heap = [(m, i) for i in range(n - 1) if (m := self.merged.get(ids[i] << 32 | ids[i + 1])) is not None]
         heapq.heapify(heap)
@@ -161,19 +184,22 @@ class SpeculativeBpe:
         known = self.known
         words = [*{w for ws in split for w in ws if w not in known}]
         ids = [self._greedy(w) for w in words]
-        flat = np.fromiter((t for x in ids for t in x), np.int64)
+        flat = np.fromiter(itertools.chain.from_iterable(ids), np.int64)
         if len(flat):
-            starts = np.cumsum([0, *map(len, ids)])[:-1]
+            ends = np.cumsum([len(x) for x in ids])
+            starts = np.append(0, ends[:-1])
             good = self.reachable[flat]
             inner = np.ones(len(flat), bool)
             inner[starts] = False  # the others have a neighbour to the left in their word
             right = np.flatnonzero(inner)
             good[right] &= self._apart(flat[right - 1], flat[right])
             fine = np.logical_and.reduceat(good, starts)
-            for w, x, f in zip(words, ids, fine.tolist(), strict=True):
-                known[w] = x if f else self._exact(w)
+            raw = flat.astype("<u4").tobytes()
+            for w, a, b, f in zip(words, (4 * starts).tolist(), (4 * ends).tolist(), fine.tolist(), strict=True):
+                known[w] = raw[a:b] if f else np.array(self._exact(w), "<u4").tobytes()
+        find = known.__getitem__
         for r, ws in zip(runs, split, strict=True):
-            self.seen[r] = np.array([t for w in ws for t in known[w]], "<u4").tobytes()
+            self.seen[r] = find(ws[0]) if len(ws) == 1 else b"".join(map(find, ws))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text. Strings of special tokens in a text are those tokens, as the library has it."""
