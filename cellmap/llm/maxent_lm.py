@@ -25,7 +25,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -77,7 +77,8 @@ def count_words(train: DataFrame) -> DataFrame:
             for text in batch.column(0):
                 words = tokens(text.as_py() or "")
                 mine = Counter(words)
-                top = min(mine.items(), key=lambda x: (-x[1], x[0]))[0]
+                most = max(mine.values())
+                top = min(w for w, n in mine.items() if n == most)
                 counts[zlib.crc32(top) % GROUPS].update(mine)
                 if sum(map(len, counts)) > MOST_COUNTED:
                     yield out()
@@ -209,10 +210,12 @@ def step(weights: np.ndarray, f: np.ndarray, target: np.ndarray, squares: np.nda
     g = np.exp(log_classes(weights, f))
     g[np.arange(len(target)), target] -= 1
     buckets, place = np.unique(f.T.ravel(), return_inverse=True)
-    kinds = f.shape[1]
-    total = np.stack([np.bincount(place, np.tile(c, kinds), len(buckets)) for c in np.ascontiguousarray(g.T, np.float64)], axis=1)
-    squares[buckets] += np.square(total).mean(axis=1)
-    weights[buckets] -= RATE * total / (CAUTION + np.sqrt(squares[buckets]))[:, None]
+    by_class = np.tile(np.ascontiguousarray(g.T, np.float64), (1, f.shape[1]))
+    total = np.empty((len(by_class), len(buckets)), np.float32)
+    for c, row in enumerate(by_class):
+        total[c] = np.bincount(place, row, len(buckets))
+    squares[buckets] += np.square(total).mean(axis=0)
+    weights[buckets] -= (RATE / (CAUTION + np.sqrt(squares[buckets])) * total).T
 
 
 def coded(encoder: Encoder, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[list[bytes]]]:
@@ -242,13 +245,12 @@ def _encoder(key: str, words) -> Encoder:
     return Encoder(words.value.words)
 
 
-def train(docs: DataFrame, v: Vocabulary, rounds: int = ROUNDS) -> np.ndarray:
+def train(docs: DataFrame, vocabulary: Broadcast, rounds: int = ROUNDS) -> np.ndarray:
     """Weights after ``rounds`` rounds; each training document takes part in one of them."""
-    spark = docs.sparkSession
+    spark, v = docs.sparkSession, vocabulary.value
     weights, classes = start_weights(v), len(v.class_mass)
     if not v.total:
         return weights
-    vocabulary = spark.sparkContext.broadcast(v)
     rows_a_block = -(-BUCKETS // BLOCKS)
     for r in range(rounds):
         now = spark.sparkContext.broadcast(weights)
@@ -298,9 +300,9 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", head: i
     docs = df.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), held_out(F.col(id_col)).alias("held_out"))
     counts = settle(count_words(docs.filter(~F.col("held_out"))), "word_counts")
     v = build_vocabulary(counts, head)
-    weights = train(docs, v)
-    spark = df.sparkSession
-    shared, model = spark.sparkContext.broadcast(v), spark.sparkContext.broadcast(weights)
+    context = df.sparkSession.sparkContext
+    shared = context.broadcast(v)  # one for all passes, so that workers keep what they have worked out of it
+    model = context.broadcast(train(docs, shared))
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -321,13 +323,17 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", head: i
                     by_class[part] = log_classes(w, f[part])[np.arange(len(target[part])), target[part]]
                 tail = place < 0
                 sums = [np.add.reduceat(x, np.cumsum(n) - n) for x in (log_count[place] - v.log_all, by_class / math.log(10) + np.where(tail, -rest_mass, in_class[place]), ~tail)]
-                rest: list[list[dict]] = []
-                start = 0
+                rest_words, rest_n, rest_ends, start = [], [], [0], 0
                 for ws, k in zip(words, n.tolist(), strict=True):
-                    rest.append([{"word": x.decode(), "tf": c} for x, c in Counter([ws[i] for i in np.flatnonzero(tail[start : start + k]).tolist()]).items()])
+                    mine = Counter(map(ws.__getitem__, np.flatnonzero(tail[start : start + k]).tolist()))
+                    rest_words += mine
+                    rest_n += mine.values()
+                    rest_ends.append(len(rest_n))
                     start += k
+                rest = pa.StructArray.from_arrays([pa.array(rest_words, pa.binary()).cast(pa.string()), pa.array(rest_n, pa.int64())], names=["word", "tf"])
+                rest = pa.ListArray.from_arrays(pa.array(rest_ends, pa.int32()), rest)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, len(texts)), batch.column(2).slice(at, len(texts)), pa.array(np.arange(row, row + len(texts))), pa.array(n.astype(np.int64)), pa.array(sums[2].astype(np.int64)), pa.array(sums[0].astype(float)), pa.array(sums[1].astype(float)), pa.array(rest, pa.list_(pa.struct([("word", pa.string()), ("tf", pa.int64())])))],
+                    [batch.column(0).slice(at, len(texts)), batch.column(2).slice(at, len(texts)), pa.array(np.arange(row, row + len(texts))), pa.array(n.astype(np.int64)), pa.array(sums[2].astype(np.int64)), pa.array(sums[0].astype(float)), pa.array(sums[1].astype(float)), rest],
                     names=["_id", "held_out", "row", "n_tokens", "n_head", "base", "model", "rest"],
                 )
                 row += len(texts)
