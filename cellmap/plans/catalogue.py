@@ -329,13 +329,15 @@ def metacluster_assign(spark, d):
 # ---------------------------------------------------------------- files
 
 def _fcs_set(spark, d):
-    """Three FCS files from a table's rows; local, as these queries show reading."""
-    rows = np.array([[r["event_id"], r["value"]] for r in table(spark, d, "events").select("event_id", "value").orderBy("event_id").limit(3000).collect()])
-    folder = tempfile.mkdtemp(prefix="cellmap-fcs-")
+    """The whole table as three FCS files: the first 700 rows, the next 1200 and all others."""
+    rows = table(spark, d, "events").select("event_id", "value")
+    ids = [r[0] for r in rows.select("event_id").orderBy(F.asc_nulls_last("event_id")).limit(1900).collect()]
+    first, second = (F.coalesce(F.col("event_id") <= F.lit(ids[min(n, len(ids)) - 1] if ids else None), F.lit(False)) for n in (700, 1900))
+    folder = fcs_files.shared_folder(spark)
     paths = []
-    for i, part in enumerate(np.array_split(rows, [700, 1900])):
+    for i, part in enumerate((first, second & ~first, ~second)):
         paths.append(os.path.join(folder, f"f{i}.fcs"))
-        fcs_files.write_fcs(paths[-1], part, ["E-id", "V"], [None, "CD3-x"], big_endian=i == 1)
+        fcs_files.write_table(rows.filter(part), paths[-1], ["E-id", "V"], [None, "CD3-x"], big_endian=i == 1)
     return paths
 
 
