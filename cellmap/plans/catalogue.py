@@ -7,7 +7,6 @@ from __future__ import annotations
 
 import math
 import os
-import tempfile
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -367,12 +366,14 @@ def fcs_channels(spark, d):
 
 
 def csv_set_scan(spark, d):
-    folder = tempfile.mkdtemp(prefix="cellmap-csv-")
+    """The whole table as a set of three; rows without a key are in the last, as the SQL's CASE has them."""
+    folder = fcs_files.shared_folder(spark)
     part = table(spark, d, "part").select("p_partkey", "p_retailprice")
+    first, second = (F.coalesce(F.col("p_partkey") <= n, F.lit(False)) for n in (50, 120))
     paths = []
-    for i, low in enumerate((0, 50, 120)):
+    for i, rows in enumerate((first, second & ~first, ~second)):
         paths.append(os.path.join(folder, f"c{i}.csv"))
-        part.filter((F.col("p_partkey") > low) & (F.col("p_partkey") <= (50, 120, 10**9)[i])).toPandas().to_csv(paths[-1], index=False)
+        part.filter(rows).write.csv(paths[-1], header=True)
     return tables.read_csv_set(spark, paths, file_idx=True)
 
 
