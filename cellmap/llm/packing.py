@@ -1,30 +1,32 @@
 """Best-fit packing by a grouping genetic algorithm.
 
 Documents are tokenised once; what is longer than a sequence is cut into whole sequences
-and a rest. Rests are dealt into groups of some thousand by a hash, and each group is
-packed by a grouping genetic algorithm (a gene is a bin, not a document): crossover injects
-whole well-filled bins of one parent into the other, removes the documents that they
-repeat, and best-fits the displaced ones. Every group has several islands, each a
+and a rest. Rests are dealt into groups of some thousand by a hash of their row numbers, and each
+group is packed by a grouping genetic algorithm (a gene is a bin, not a document): crossover
+injects whole well-filled bins of one parent into the other, removes the documents that they
+repeat, and best-fits the displaced ones. The first generation is best fit of random orders, so
+what is gained on it is gained by crossover and mutation. Every group has several islands, each a
 population of its own in a task of its own; after each epoch the elite of an island
 migrates to the next one. Bins that stay poorly filled are opened again and dealt into new
-groups, until one group is left.
+groups, for as long as that closes a fair part of them.
 """
 
 from __future__ import annotations
 
 import functools
-import re
+import os
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
-from .common import settle
+from .common import n_partitions, settle
 
 GROUP = 4_096
 ISLANDS = 2
@@ -33,66 +35,105 @@ POPULATION = 4
 GENERATIONS = 5
 #: A bin with more than this share free is opened again at the next level.
 LOOSE = 1 / 64
-MOST_LEVELS = 5
+#: Levels go on while one closes this share of its rows.
+CLOSED = 1 / 4
 #: Words that a worker keeps the ids of.
-MOST_WORDS = 600_000
-#: The splitter's parts of a lower-case word, for words of ASCII and the Latin letters U+00C0 to U+00FF without special tokens.
-PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
-PLAIN = re.compile(rb"(?:[!-;=-~]|<(?!\|)|\xc3[\x80-\xbf])+")
+MOST_WORDS = 800_000
+#: Parts that the library encodes as one text.
+PARTS_A_TEXT = 400
+#: The vocabulary's own splitter; the same parts of a lower-case word of ASCII and the letters U+00C0 to U+00FF; and such words.
+SPLITTER = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+PARTS = "('s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+)"
+PLAIN = "^[!-~\u00c0-\u00ff]*$"
 
 
 # ---------------------------------------------------------------- tokens
 
 
-class WordIds(dict):
-    """Ids of each word as little-endian 32-bit numbers, worked out once by the library.
+def _strings(words: pa.Array) -> list[str]:
+    """An array of words without white space as a list; one long text is cheaper to hand over than each word."""
+    if not len(words):
+        return []
+    whole = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words)
+    return pc.binary_join(whole, " ")[0].as_py().split(" ")
+
+
+def _bytes(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Data and ends of a binary array that isn't a slice."""
+    ends = np.frombuffer(values.buffers()[1], np.int32)[: len(values) + 1] if len(values) else np.zeros(1, np.int32)
+    data = values.buffers()[2] if len(values) else None
+    return np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8), ends
+
+
+class WordIds:
+    """Ids of words as little-endian 32-bit numbers, each word worked out once by the library.
 
     White space never joins words in the vocabularies for which this is used: their normaliser
-    and splitter treat what stands between white space alone. A word that isn't known yet
-    goes on the list ``new``.
+    and splitter treat what stands between white space alone. A plain word is split into parts
+    first, and only parts that are new go to the library, as texts of many parts that are told
+    apart by the tokens that end words. Other words go to the library whole. A vocabulary with
+    another splitter gets all texts whole.
     """
 
     def __init__(self, path: str):
-        super().__init__()
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the parallel units
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.by_words = SPLITTER in str(self.tokenizer.pre_tokenizer)
+        self.of_parts = Tokenizer(self.tokenizer.model)
+        self.of_parts.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocab = self.tokenizer.get_vocab()
         self.ends_word = np.zeros(max(vocab.values()) + 1, bool)
         self.ends_word[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        self.parts: dict[str, bytes] = {}
-        self.new: list[bytes] = []
+        self.clear()
+
+    def clear(self) -> None:
+        self.words: dict[str, bytes] = {"": b""}
+        self.parts: dict[str, bytes] = {"": b""}
 
-    def __missing__(self, word: bytes) -> bytes:
-        self.new.append(word)
-        return b""
+    def _library(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn_parts(self, parts: list[str]) -> None:
-        """Parts are encoded as one text of words, and told apart by the tokens that end words."""
-        ids = np.array(self.tokenizer.encode(" ".join(parts), add_special_tokens=False).ids, "<u4")
+        texts = [" ".join(parts[at : at + PARTS_A_TEXT]) for at in range(0, len(parts), PARTS_A_TEXT)]
+        ids = np.concatenate([np.array(e.ids, "<u4") for e in self.of_parts.encode_batch_fast(texts, add_special_tokens=False)])
         ends = 4 * (np.flatnonzero(self.ends_word[ids]) + 1)
         if len(ends) != len(parts):
             raise ValueError("a part isn't one word of the vocabulary's splitter")
         raw = ids.tobytes()
         self.parts.update((p, raw[a:b]) for p, a, b in zip(parts, [0, *ends[:-1].tolist()], ends.tolist(), strict=True))
 
-    def learn(self) -> None:
-        """Plain words are lower-cased and split first, and only parts that are new go to the library."""
-        words = [*dict.fromkeys(self.new)]
-        self.new.clear()
-        plain = [w for w in words if PLAIN.fullmatch(w)]
-        split = [PARTS.findall(w.decode().lower()) for w in plain]
-        if parts := [*{p for ps in split for p in ps if p not in self.parts}]:
-            self._learn_parts(parts)
-        for w, ps in zip(plain, split, strict=True):
-            self[w] = b"".join(map(self.parts.__getitem__, ps))
-        if rest := [w for w in words if w not in self]:
-            for w, e in zip(rest, self.tokenizer.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False), strict=True):
-                self[w] = np.array(e.ids, "<u4").tobytes()
-
-    def clear(self) -> None:
-        super().clear()
-        self.parts.clear()
+    def _learn(self, words: list[str]) -> None:
+        column = pa.array(words, pa.string())
+        plain = pc.and_(pc.match_substring_regex(column, PLAIN), pc.invert(pc.match_substring(column, "<|")))
+        if rest := column.filter(pc.invert(plain)).to_pylist():
+            self.words.update(zip(rest, self._library(rest), strict=True))
+        column = column.filter(plain)
+        split = pc.ascii_split_whitespace(pc.replace_substring_regex(pc.utf8_lower(column), PARTS, r"\1 "))
+        coded = split.flatten().dictionary_encode()
+        names = _strings(coded.dictionary)
+        if new := [p for p in names if p not in self.parts]:
+            self._learn_parts(new)
+        data, ends = _bytes(pa.array([self.parts[p] for p in names], pa.binary()).take(coded.indices))
+        raw, cuts = data.tobytes(), ends[split.offsets.to_numpy()].tolist()
+        self.words.update((w, raw[a:b]) for w, a, b in zip(_strings(column), cuts[:-1], cuts[1:], strict=True))
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after the other, and where each text's begin and end. A null text is empty."""
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        if not self.by_words:
+            ids = self._library(texts.to_pylist())
+            return np.frombuffer(b"".join(ids), "<u4"), np.cumsum([0, *(len(x) // 4 for x in ids)])
+        if len(self.words) > MOST_WORDS:
+            self.clear()
+        split = pc.ascii_split_whitespace(texts)
+        coded = split.flatten().dictionary_encode()
+        words = _strings(coded.dictionary)
+        if new := [w for w in words if w not in self.words]:
+            self._learn(new)
+        data, ends = _bytes(pa.array([self.words[w] for w in words], pa.binary()).take(coded.indices))
+        return data.view("<u4"), ends[split.offsets.to_numpy()] // 4
 
 
 @functools.lru_cache(maxsize=2)
@@ -100,51 +141,40 @@ def word_ids(path: str) -> WordIds:
     return WordIds(path)
 
 
-def encode_texts(path: str, texts: list[str]) -> list[bytes]:
-    """Each text's ids, 4 bytes each."""
-    known = word_ids(path)
-    if len(known) > MOST_WORDS:
-        known.clear()
-    find, out, again = known.__getitem__, [], []
-    for i, text in enumerate(texts):
-        before, words = len(known.new), text.encode().split()
-        out.append(b"".join(map(find, words)))
-        if len(known.new) > before:
-            again.append((i, words))
-    if again:
-        known.learn()
-        for i, words in again:
-            out[i] = b"".join(map(find, words))
-    return out
+PIECE = "piece int, start long, length long, ids_crc32 long"
 
 
-PIECE = "piece int, start long, length long, ids_crc32 long"
+def blocks(texts: pa.Array, most_bytes: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows, in order, of about ``most_bytes`` bytes of text each; a longer text is a range of its own."""
+    upto, at = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)), 0
+    while at < len(upto):
+        before = int(upto[at - 1]) if at else 0
+        end = max(at + 1, int(np.searchsorted(upto, before + most_bytes, "right")))
+        yield at, end
+        at = end
 
 
-def pieces(df: DataFrame, path: str, id_col: str, text_col: str, capacity: int, end_id: int, block_chars: int = 1_000_000) -> DataFrame:
+def pieces(df: DataFrame, path: str, id_col: str, text_col: str, capacity: int, end_id: int, block_bytes: int = 6_000_000) -> DataFrame:
     """Cut every document's ids (and ``end_id``) into pieces of at most ``capacity``; a null text counts as empty."""
     kind = df.schema[id_col].dataType.simpleString()
-
-    def cut(texts: list[str]) -> Iterator[tuple]:
-        for i, ids in enumerate(encode_texts(path, texts)):
-            ids += end_id.to_bytes(4, "little")
-            for p, at in enumerate(range(0, len(ids), 4 * capacity)):
-                part = ids[at : at + 4 * capacity]
-                yield i, p, at // 4, len(part) // 4, zlib.crc32(part)
+    end = end_id.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = word_ids(path)
         for batch in batches:
-            texts, first, chars = [], 0, 0
-            for i, x in enumerate(batch.column(1)):
-                texts.append(x.as_py() or "")
-                chars += len(texts[-1])
-                if chars >= block_chars or i + 1 == batch.num_rows:
-                    rows = list(zip(*cut(texts), strict=True))
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).slice(first, len(texts)).take(pa.array(rows[0], pa.int64())), pa.array(rows[1], pa.int32()), *(pa.array(r, pa.int64()) for r in rows[2:])],
-                        names=["_id", "piece", "start", "length", "ids_crc32"],
-                    )
-                    texts, first, chars = [], i + 1, 0
+            for a, b in blocks(batch.column(1), block_bytes):
+                ids, cuts = known.encode(batch.column(1).slice(a, b - a))
+                raw, cuts, rows = memoryview(ids.tobytes()), (4 * cuts.astype(np.int64)).tolist(), []
+                for i, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+                    whole = raw[lo:hi].tobytes() + end
+                    for p, at in enumerate(range(0, len(whole), 4 * capacity)):
+                        part = whole[at : at + 4 * capacity]
+                        rows.append((i, p, at // 4, len(part) // 4, zlib.crc32(part)))
+                columns = list(zip(*rows, strict=True))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(a, b - a).take(pa.array(columns[0], pa.int64())), pa.array(columns[1], pa.int32()), *(pa.array(r, pa.int64()) for r in columns[2:])],
+                    names=["_id", "piece", "start", "length", "ids_crc32"],
+                )
 
     return df.select(id_col, text_col).mapInArrow(run, f"_id {kind}, {PIECE}")
 
@@ -179,15 +209,24 @@ def best_fit(items: list[int], lengths: list[int], capacity: int, bins: Bins) ->
     return bins
 
 
+def plain_best_fit(lengths: list[int], capacity: int) -> Bins:
+    """Best fit of decreasing lengths: what the algorithm is measured against; no packing starts from it."""
+    return best_fit(sorted(range(len(lengths)), key=lambda i: -lengths[i]), lengths, capacity, [])
+
+
+def fills(bins: Bins, lengths: list[int]) -> list[int]:
+    return [sum(map(lengths.__getitem__, b)) for b in bins]
+
+
 def fitness(bins: Bins, lengths: list[int], capacity: int) -> float:
     """Falkenauer's measure: the mean squared filling."""
-    return sum((sum(lengths[i] for i in b) / capacity) ** 2 for b in bins) / max(1, len(bins))
+    return sum((n / capacity) ** 2 for n in fills(bins, lengths)) / max(1, len(bins))
 
 
 def crossover(mother: Bins, father: Bins, lengths: list[int], capacity: int, rng: np.random.Generator) -> Bins:
     """Inject some of the father's well-filled bins into the mother."""
-    fill = np.array([sum(lengths[i] for i in b) for b in father])
-    good = np.argsort(-fill, kind="stable")[: max(1, len(father) // 2)]
+    full = np.array(fills(father, lengths))
+    good = np.argsort(-full, kind="stable")[: max(1, len(father) // 2)]
     chosen = [father[k] for k in good[rng.random(len(good)) < 0.5]] or [father[int(good[0])]]
     taken = {i for b in chosen for i in b}
     child, displaced = [list(b) for b in chosen], []
@@ -202,33 +241,37 @@ def crossover(mother: Bins, father: Bins, lengths: list[int], capacity: int, rng
 
 def mutate(bins: Bins, lengths: list[int], capacity: int, rng: np.random.Generator) -> Bins:
     """Empty the worst bins and a few others, and best-fit what they held."""
-    order = sorted(range(len(bins)), key=lambda b: sum(lengths[i] for i in bins[b]))
+    order = np.argsort(fills(bins, lengths), kind="stable").tolist()
     out = {*order[: max(1, len(bins) // 20)], *rng.integers(0, len(bins), max(1, len(bins) // 20)).tolist()}
     items = sorted((i for b in out for i in bins[b]), key=lambda i: (-lengths[i], i))
     return best_fit(items, lengths, capacity, [list(b) for k, b in enumerate(bins) if k not in out])
 
 
 def start(lengths: list[int], capacity: int, n: int, rng: np.random.Generator) -> list[Bins]:
-    """Best fit of decreasing lengths, and of orders that are a little disturbed."""
-    a = np.array(lengths, float)
-    return [best_fit(np.argsort(-a * (1 if k == 0 else rng.uniform(0.8, 1.0, len(a))), kind="stable").tolist(), lengths, capacity, []) for k in range(n)]
-
+    """Best fit of random orders."""
+    return [best_fit(rng.permutation(len(lengths)).tolist(), lengths, capacity, []) for _ in range(n)]
 
-def evolve(population: list[Bins], lengths: list[int], capacity: int, generations: int, rng: np.random.Generator) -> list[Bins]:
-    """The population after some generations, best first. It stops early where no packing can have fewer bins."""
-    least = -(-sum(lengths) // capacity)
 
-    def rank(b: Bins) -> tuple[int, float]:
-        return len(b), -fitness(b, lengths, capacity)
+def evolve(population: list[Bins], lengths: list[int], capacity: int, generations: int, rng: np.random.Generator, done: dict | None = None) -> list[Bins]:
+    """The population after some generations, best first. It stops early where no packing can have fewer bins.
 
-    population = sorted(population, key=rank)
+    ``done`` counts the crossovers made.
+    """
+    least = -(-sum(lengths) // capacity)
+    ranked = sorted(((len(b), -fitness(b, lengths, capacity), k, b) for k, b in enumerate(population)), key=lambda x: x[:3])
+    born = len(ranked)
     for _ in range(generations):
-        if len(population[0]) <= least:
+        if ranked[0][0] <= least:
             break
-        mother, father = population[0], population[int(rng.integers(1, len(population)))] if len(population) > 1 else population[0]
-        young = [crossover(mother, father, lengths, capacity, rng), crossover(father, mother, lengths, capacity, rng), mutate(mother, lengths, capacity, rng)]
-        population = sorted([*population, *young], key=rank)[: len(population)]
-    return population
+        mother, father = ranked[0][3], ranked[int(rng.integers(1, len(ranked)))][3] if len(ranked) > 1 else ranked[0][3]
+        young = [crossover(mother, father, lengths, capacity, rng), crossover(father, mother, lengths, capacity, rng)]
+        young.append(mutate(young[0], lengths, capacity, rng))
+        if done is not None:
+            done["crossovers"] = done.get("crossovers", 0) + 2
+        size = len(ranked)
+        ranked = sorted([*ranked, *((len(b), -fitness(b, lengths, capacity), born + k, b) for k, b in enumerate(young))], key=lambda x: x[:3])[:size]
+        born += len(young)
+    return [x[3] for x in ranked]
 
 
 # ---------------------------------------------------------------- the distributed part
@@ -293,36 +336,41 @@ def _place(capacity: int, schema_of: list[str]):
 
 
 def pack_rests(rests: DataFrame, capacity: int) -> DataFrame:
-    """Pack rows with ``_id`` and the columns of PIECE; adds ``sequence_id`` and ``offset``."""
+    """Pack rows with ``_id``, the columns of PIECE and ``_row`` (a number of its own for each row); adds ``sequence_id`` and ``offset``.
+
+    Groups are dealt by a hash of ``_row``, so that equal rows spread like others and no group grows with the table.
+    A sequence's number holds level, group and bin side by side: a group has fewer than 2^31 rows as they are one array.
+    """
     columns = rests.columns
     kinds = {f.name: f.dataType.simpleString() for f in rests.schema}
-    done, todo, level = None, rests, 0
+    done, todo, level, n = None, rests, 0, rests.count()
     while True:
-        n = todo.count()
         groups = max(1, -(-n // GROUP))
         grouped = settle(
-            todo.withColumn("grp", F.pmod(F.xxhash64(*columns, F.lit(level)), F.lit(groups)))
+            todo.withColumn("grp", F.pmod(F.xxhash64("_row", F.lit(level)), F.lit(groups)))
             .groupBy("grp").agg(F.sort_array(F.collect_list(F.struct("length", *[c for c in columns if c != "length"]))).alias("members")),
             f"groups_{level}",
         )
         lengths = grouped.select("grp", F.col("members.length").cast("array<int>").alias("lengths"))
+        tasks = min(groups * ISLANDS, 8 * n_partitions(rests.sparkSession))
         state = lengths.withColumn("island", F.explode(F.array(*[F.lit(i) for i in range(ISLANDS)]))).withColumn("elite", F.array().cast("array<binary>"))
         for epoch in range(EPOCHS):
-            state = state.repartition("grp", "island").mapInPandas(_epoch(capacity, epoch, migrate=epoch + 1 < EPOCHS), STATE)
+            state = state.repartition(tasks, "grp", "island").mapInPandas(_epoch(capacity, epoch, migrate=epoch + 1 < EPOCHS), STATE)
             if epoch + 1 < EPOCHS:
                 state = state.groupBy("grp", "island").agg(F.first("lengths").alias("lengths"), F.collect_list("elite").alias("elite"))
         solved = grouped.join(state.groupBy("grp").agg(F.collect_list("elite").alias("elite")), "grp")
         schema = ", ".join(f"{c} {kinds[c]}" for c in columns) + ", grp long, bin long, offset long, free long"
         placed = settle(solved.mapInPandas(_place(capacity, columns), schema), f"packed_{level}")
-        last = groups == 1 or level + 1 == MOST_LEVELS
-        named = placed.withColumn("sequence_id", (F.lit(level).cast("long") * F.lit(1 << 58)) + F.col("grp") * F.lit(GROUP * 8) + F.col("bin"))
-        kept = named if last else named.filter(F.col("free") <= capacity * LOOSE)
+        loose = F.col("free") > capacity * LOOSE
+        left = 0 if groups == 1 else placed.filter(loose).count()
+        last = left == 0 or n - left < n * CLOSED
+        named = placed.withColumn("sequence_id", F.lit(level).cast("long") * F.lit(1 << 58) + F.col("grp") * F.lit(1 << 31) + F.col("bin"))
+        kept = named if last else named.filter(~loose)
         kept = kept.select(*columns, "sequence_id", "offset")
         done = kept if done is None else done.unionByName(kept)
         if last:
             return done
-        todo = placed.filter(F.col("free") > capacity * LOOSE).select(*columns)
-        level += 1
+        todo, n, level = placed.filter(loose).select(*columns), left, level + 1
 
 
 def pack(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 4096, end_id: int = 1) -> DataFrame:
@@ -333,7 +381,7 @@ def pack(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text
     are documents of their own. An empty table gives an empty table. ``path`` must be readable on
     every executor.
     """
-    cut = settle(pieces(df, path, id_col, text_col, capacity, end_id), "pieces")
-    whole = cut.filter(F.col("length") == capacity).withColumn("sequence_id", -1 - F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
-    packed = whole.unionByName(pack_rests(cut.filter(F.col("length") < capacity), capacity))
+    cut = settle(pieces(df, path, id_col, text_col, capacity, end_id).withColumn("_row", F.monotonically_increasing_id()), "pieces")
+    whole = cut.filter(F.col("length") == capacity).withColumn("sequence_id", -1 - F.col("_row")).withColumn("offset", F.lit(0).cast("long"))
+    packed = whole.unionByName(pack_rests(cut.filter(F.col("length") < capacity), capacity)).drop("_row")
     return packed.withColumnRenamed("_id", id_col)

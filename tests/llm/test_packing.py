@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
@@ -22,8 +23,20 @@ def texts():
 def test_tokens():
     tokenizer = Tokenizer.from_file(PATH)
     all_texts = [t or "" for t in texts()]
-    for t, ids in zip(all_texts, p.encode_texts(PATH, all_texts)):
-        assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids
+    known = p.WordIds(PATH)
+    assert known.by_words
+    for _ in range(2):  # words that are new, and words that are known
+        ids, cuts = known.encode(pa.array(texts()))
+        for t, a, b in zip(all_texts, cuts[:-1], cuts[1:], strict=True):
+            assert ids[a:b].tolist() == tokenizer.encode(t, add_special_tokens=False).ids
+    known.by_words = False
+    again, _ = known.encode(pa.array(texts()))
+    assert again.tolist() == ids.tolist()
+
+
+def test_blocks():
+    column = pa.array(["a" * 10, None, "b" * 100, "", "c" * 30, "d" * 30, "e" * 50])
+    assert [*p.blocks(column, 60)] == [(0, 2), (2, 3), (3, 6), (6, 7)] and [*p.blocks(pa.array([], pa.string()), 60)] == []
 
 
 @pytest.mark.parametrize("capacity", [64, 1024])
@@ -65,3 +78,28 @@ def test_operators():
     best = p.evolve([a, b], lengths, 100, 10, rng)[0]
     assert len(best) <= len(a)
     assert p._bins(p._flat(a, 300)) == [sorted(x) for x in a]
+
+
+def test_equal_rows(spark):
+    """However many rows are equal, no sequence overflows and the packing stays tight."""
+    rows = [(7, "same words in every row " * 40)] * 9_000 + [(i, f"other {i} " * (i % 90)) for i in range(2_000)]
+    out = p.pack(spark.createDataFrame(rows, "doc_id long, text string"), PATH)
+    bins = out.groupBy("sequence_id").agg({"length": "sum"}).collect()
+    sums = [r["sum(length)"] for r in bins]
+    assert max(sums) <= 4096 and len(sums) <= 1.01 * sum(sums) / 4096 + 1 and out.count() == len(rows)
+
+
+def test_genes_beat_best_fit():
+    """Where plain best fit misses the bound, crossover is used and saves bins."""
+    rng = np.random.default_rng(3)
+    for low, high in ((1000, 2000), (700, 2100)):
+        lengths, done = rng.integers(low, high, 1500).tolist(), {}
+        first = p.start(lengths, 4096, p.POPULATION, rng)
+        best = p.evolve(first, lengths, 4096, 12, rng, done)[0]
+        assert done["crossovers"] >= 10
+        assert len(best) < len(p.plain_best_fit(lengths, 4096)) and len(best) < min(map(len, first))
+
+
+def test_extra_columns(spark):
+    df = spark.createDataFrame([(1, "a b", 3, "x", 9), (2, "c", 3, "x", 9)], "doc_id long, text string, length int, sequence_id string, _row long")
+    assert sorted(r["doc_id"] for r in p.pack(df, PATH).collect()) == [1, 2]
