@@ -1,9 +1,10 @@
 """Exact deduplication by content sort, in DataFrame operations only.
 
-Rows are range-partitioned by sampled splitters over their normalised bytes, sorted
-externally within each partition so that equal texts lie next to each other, and
-neighbours are compared in full. The splitters see the first bytes of the normalised
-text and then its digest: the sample that Spark gathers for them stays small however
+Rows are range-partitioned by sampled splitters over their normalised bytes and sorted
+externally by those bytes within each partition, so that equal texts lie next to each other. An
+aggregate that streams over the sorted rows compares each text with its neighbour's in full
+and holds one row at a time, however many are equal. The splitters see the first bytes of the
+normalised text and then its digest: the sample that Spark gathers for them stays small however
 long the texts are, and texts that share a long beginning still spread over partitions.
 
 A text with very many copies would fill one range. Such texts are found first by a
@@ -14,7 +15,7 @@ usual, and a second, small content sort over one row a piece joins the pieces ag
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import SPACES, delete_chars, n_partitions, settle
@@ -43,88 +44,51 @@ def content_sort_dedup(
     Of equal texts the row with the most code points in the original text stays, then the
     smallest identifier; a null identifier comes after all others. Rows that are equal in
     all this still leave exactly one. A null text counts as empty; empty texts form one
-    group. An empty table gives an empty table.
+    group. A text of any length is compared whole. An empty table gives an empty table.
     """
     spark = df.sparkSession
     n = n_partitions(spark)
-    norm = normalised(F.col(text_col))
-    base = df.select(
-        F.col(id_col).alias("_id"),
-        F.coalesce(F.col(text_col), F.lit("")).alias("_text"),
-        *([F.struct(*[df[c] for c in df.columns]).alias("_row")] if carry else []),
-    ).withColumn("_norm", norm_of_text()).withColumn("_sha", F.sha2("_norm", 256))
+    whole = F.struct(*[df[c] for c in df.columns])
+    text = F.col("_row")[text_col] if carry else F.col("_text")
+    # Each text is normalised for its digest once; the settled row numbers name a row for good.
+    base = settle(
+        df.select(F.col(id_col).alias("_id"), (whole.alias("_row") if carry else F.coalesce(F.col(text_col), F.lit("")).alias("_text")))
+        .withColumn("_sha", F.sha2(normalised(text), 256)).withColumn("_len", F.length(F.coalesce(text, F.lit("")))).withColumn("_start", F.substring(normalised(text), 1, PREFIX_CHARS))
+        .withColumn("_no", F.monotonically_increasing_id()),
+        "rows",
+    )
 
     # Digests with so many rows that they would burden one range: at most 4 n of them.
-    share = max(64, df.count() // (4 * n))
-    hot = (
-        df.select(F.sha2(norm, 256).alias("_sha"))
-        .groupBy("_sha").agg(F.count(F.lit(1)).alias("_copies"))
-        .filter(F.col("_copies") > share)
-        .collect()
-    )
+    share = max(64, base.count() // (4 * n))
+    hot = base.groupBy("_sha").agg(F.count(F.lit(1)).alias("_copies")).filter(F.col("_copies") > share).collect()
     if hot:
         table = spark.createDataFrame([(r["_sha"], -(-r["_copies"] // share)) for r in hot], "_sha string, _pieces long")
-        base = base.join(F.broadcast(table), "_sha", "left").withColumn("_pieces", F.coalesce("_pieces", F.lit(1)))
+        salted = base.join(F.broadcast(table), "_sha", "left").withColumn("_pieces", F.coalesce("_pieces", F.lit(1)))
     else:
-        base = base.withColumn("_pieces", F.lit(1).cast("long"))
-    base = base.withColumn("_salt", F.pmod(F.xxhash64("_id", "_text"), F.col("_pieces")))
-    base = base.withColumn("_start", F.substring("_norm", 1, PREFIX_CHARS)).withColumn("_len", F.length("_text")).drop("_text")
-
-    key = ["_start", "_sha", "_salt"]
-    spread = base.repartitionByRange(*key)
-    equal = Window.partitionBy(*key, "_norm")
-    best_first = equal.orderBy(F.col("_len").desc(), F.col("_id").asc_nulls_last())
-    pieces = (
-        spread.withColumn("_rank", F.row_number().over(best_first))
-        .withColumn("_best", F.first("_id").over(best_first))
-        .withColumn("_best_len", F.first("_len").over(best_first))
-        .withColumn("_n", F.count(F.lit(1)).over(equal))
+        salted = base.withColumn("_pieces", F.lit(1).cast("long"))
+    salted = salted.withColumn("_salt", F.pmod(F.xxhash64("_no"), F.col("_pieces")))
+
+    # The best row of each run of equal texts: the longest original, then the least identifier.
+    order = [(-F.col("_len")).alias("a"), F.col("_id").isNull().alias("b"), F.col("_id").alias("id"), F.col("_no").alias("no")]
+    best = F.min(F.struct(*order, *([F.col("_row").alias("row")] if kept_only and carry else []))).alias("_best")
+    runs = (
+        salted.repartitionByRange("_start", "_sha", "_salt")
+        .withColumn("_norm", normalised(text))
+        .groupBy("_start", "_norm", "_sha", "_salt", "_pieces").agg(best, F.count(F.lit(1)).alias("_n"))
     )
+    if hot:
+        runs = settle(runs.withColumn("_norm", F.when(F.col("_pieces") > 1, F.col("_norm"))), "runs")
+        # One row a piece: fewer than 8 n rows, whatever the size of the table.
+        joined = runs.filter("_pieces > 1").groupBy("_sha", "_norm").agg(F.max("_pieces").alias("_pieces"), F.min("_best").alias("_best"), F.sum("_n").alias("_n"))
+        runs = runs.filter("_pieces = 1").select("_sha", "_salt", "_best", "_n").unionByName(
+            joined.withColumn("_salt", F.lit(0).cast("long") if kept_only else F.explode(F.sequence(F.lit(0).cast("long"), F.col("_pieces") - 1))).select("_sha", "_salt", "_best", "_n")
+        )
     if kept_only:
-        pieces = pieces.filter("_rank = 1")
+        row = [F.col("_best.row").alias("row")] if carry else []
+        return runs.select(F.col("_best.id").alias(id_col), F.col("_best.id").alias("keep_id"), F.col("_n").cast("long").alias("group_size"), F.lit(True).alias("kept"), F.col("_sha").alias("text_sha256"), *row)
     row = ["_row"] if carry else []
-    if not hot:
-        return _named(pieces.withColumn("_kept", F.col("_rank") == 1), id_col, row)
-
-    heads = (F.col("_pieces") > 1) & (F.col("_rank") == 1)
-    pieces = settle(
-        pieces.select("_id", "_sha", "_salt", "_pieces", "_rank", "_best", "_best_len", "_n", F.when(heads, F.col("_norm")).alias("_norm"), *row),
-        "content_sort",
-    )
-    # One row a piece: fewer than 8 n rows, whatever the size of the table.
-    again = Window.partitionBy("_sha", "_norm")
-    order = again.orderBy(F.col("_best_len").desc(), F.col("_best").asc_nulls_last(), F.col("_salt"))
-    merged = (
-        pieces.filter(heads)
-        .select(
-            "_sha", "_salt", F.col("_best").alias("_piece_best"),
-            F.first("_best").over(order).alias("_all_best"),
-            F.sum("_n").over(again).alias("_all_n"),
-            (F.row_number().over(order) == 1).alias("_first"),
-        )
-    )
-    both = pieces.alias("p").join(
-        F.broadcast(merged).alias("m"),
-        (F.col("p._sha") == F.col("m._sha")) & (F.col("p._salt") == F.col("m._salt")) & F.col("p._best").eqNullSafe(F.col("m._piece_best")) & (F.col("p._pieces") > 1),
-        "left",
-    )
-    return _named(
-        both.select(
-            "p._id", "p._sha", *[f"p.{c}" for c in row],
-            F.when(F.col("m._sha").isNull(), F.col("p._best")).otherwise(F.col("m._all_best")).alias("_best"),
-            F.coalesce("m._all_n", "p._n").alias("_n"),
-            ((F.col("p._rank") == 1) & F.coalesce(F.col("m._first"), F.lit(True))).alias("_kept"),
-        ).filter("_kept" if kept_only else "true"),
-        id_col, row,
-    )
-
-
-def norm_of_text() -> Column:
-    return normalised(F.col("_text"))
-
-
-def _named(df: DataFrame, id_col: str, row: list[str]) -> DataFrame:
-    return df.select(
-        F.col("_id").alias(id_col), F.col("_best").alias("keep_id"), F.col("_n").cast("long").alias("group_size"),
-        F.col("_kept").alias("kept"), F.col("_sha").alias("text_sha256"), *[F.col(c).alias("row") for c in row],
+    found = salted.select("_id", "_sha", "_salt", "_no", *row).join(runs.select("_sha", "_salt", "_best", "_n"), ["_sha", "_salt"])
+    return found.select(
+        F.col("_id").alias(id_col), F.col("_best.id").alias("keep_id"), F.col("_n").cast("long").alias("group_size"),
+        (F.col("_no") == F.col("_best.no")).alias("kept"), F.col("_sha").alias("text_sha256"), *[F.col(c).alias("row") for c in row],
     )
