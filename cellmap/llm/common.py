@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,3 +80,21 @@ def smallest_hashed(df: DataFrame, id_col: str, most: int) -> DataFrame:
     if n > 8 * most:
         df = df.filter(h < F.lit(-(1 << 63) + int((1 << 64) * (2 * most + 200) / n)))
     return df.orderBy(h, id_col).limit(most)
+
+
+def strings(words: pa.Array) -> list[str]:
+    """An array of words without white space as a list; one long text is cheaper to hand over than each word."""
+    if not len(words):
+        return []
+    whole = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words)
+    return pc.binary_join(whole, " ")[0].as_py().split(" ")
+
+
+def blocks(texts: pa.Array, most_bytes: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows, in order, of about ``most_bytes`` bytes of text each; a longer text is a range of its own."""
+    upto, at = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)), 0
+    while at < len(upto):
+        before = int(upto[at - 1]) if at else 0
+        end = max(at + 1, int(np.searchsorted(upto, before + most_bytes, "right")))
+        yield at, end
+        at = end

@@ -1,53 +1,58 @@
 """Language-model scoring by a hashed maximum-entropy model with class-factored softmax.
 
-log P(word | history) = log P(class | history) + log P(word | class). The class is a softmax
-over sums of weights of hashed features: the word before, the two words before, and the
-words two and three places before alone (skips). Within a class words follow their
-smoothed counts. With all feature weights at zero the model is the add-one unigram model.
-
-Counts come from all training documents. Frequent words (a fixed number at most) have their
-classes and counts on every executor; all others are one class, and their counts are joined
-by word, each document's repeats taken together, so nothing is cut off. Weights are trained
-in rounds: every task takes gradient steps on its documents of the round, and the steps of
-all tasks are averaged, weighted by tokens, block by block of the weight table.
+P(word | history) = P(class | history) P(slot | class, history) P(word | slot). The first two are
+softmaxes over sums of weights of hashed features. The class sees the word before, the two
+words before, and the words two and three places before alone (skips); the slot within its class
+sees the word before and the two words before, each joined with the class. The most frequent words
+have slots of their own, so there the slot is the word; every other word, seen or not, shares the
+slot of its hash with others, in a class by its ending, and follows its count there. With all
+weights at zero the model is a smoothed unigram model.
+
+Counts come from all training documents, and the number of feature rows grows with the cube root of
+their tokens. A text is split twice: once to count, and once, when the classes are known, into
+codes of four bytes a token; training and scoring read only those. Counts of frequent words
+are on every executor, others are joined by word, each document's repeats taken together: that is a
+matter of transport, and a word's probability doesn't depend on it. Weights are trained in rounds:
+every task takes gradient steps on its documents of the round, and the steps of all tasks are
+averaged, weighted by tokens, block by block of the weight table.
 """
 
 from __future__ import annotations
 
-import functools
-import itertools
 import math
 import zlib
-from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import Broadcast, TaskContext
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import blocks, settle, strings
 
 #: The end of a text as a token; no word holds white space.
 END = "\n"
+#: Words whose counts are on every executor.
 HEAD = 131_072
-CLASSES = 48
-BUCKETS = 8_192
+CLASSES = 32
+SLOTS = 32
+#: Classes whose slots are words of their own; the others are for endings.
+OWN_CLASSES = 16
+#: Groups of texts, by their commonest words; classes keep words of one group together.
 GROUPS = 8
+#: A code holds class, slot and this many bits of the word's checksum.
+HASH_BITS = 21
 ROUNDS = 2
 BLOCKS = 32
 BATCH = 4_096
 RATE = 0.35
 #: Weighs against large first steps of features that are rare.
 CAUTION = 4.0
-MOST_COUNTED = 400_000
-
-
-def tokens(text: str) -> list[bytes]:
-    return [*text.encode().lower().split(), b"\n"]
+BLOCK_BYTES = 12_000_000
 
 
 def held_out(doc_id: Column) -> Column:
@@ -58,6 +63,23 @@ def held_out(doc_id: Column) -> Column:
 # ---------------------------------------------------------------- counts
 
 
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Distinct words of several texts, the place of each token among them, and the number of each text's words."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.string()), "")))
+    coded = split.flatten().dictionary_encode()
+    codes, offsets = coded.indices.to_numpy(), split.offsets.to_numpy()
+    real = np.ones(len(codes), bool)
+    blank = pc.index(coded.dictionary, "").as_py()  # what stands ahead of leading white space
+    if blank >= 0:
+        real = codes != blank
+    upto = np.append(0, np.cumsum(real))[offsets]
+    return coded.dictionary, codes[real], np.diff(upto)
+
+
+def checksums(words: list[str]) -> np.ndarray:
+    return np.fromiter((zlib.crc32(w.encode()) for w in words), np.int64, len(words))
+
+
 def count_words(train: DataFrame) -> DataFrame:
     """``word``, ``c`` and ``g0``.. : counts over all training texts, by group of the text's commonest word.
 
@@ -65,46 +87,28 @@ def count_words(train: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = [Counter() for _ in range(GROUPS)]
-
-        def out() -> pa.RecordBatch:
-            rows = [(w.decode(), g, n) for g, c in enumerate(counts) for w, n in c.items()]
-            for c in counts:
-                c.clear()
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int64())], names=["word", "grp", "n"])
-
         for batch in batches:
-            for text in batch.column(0):
-                words = tokens(text.as_py() or "")
-                mine = Counter(words)
-                most = max(mine.values())
-                top = min(w for w, n in mine.items() if n == most)
-                counts[zlib.crc32(top) % GROUPS].update(mine)
-                if sum(map(len, counts)) > MOST_COUNTED:
-                    yield out()
-        yield out()
+            for a, b in blocks(batch.column(0), BLOCK_BYTES):
+                words, codes, n = split_words(batch.column(0).slice(a, b - a))
+                text, size = np.repeat(np.arange(b - a), n), max(1, len(words))
+                sums = checksums(strings(words))
+                pair, times = np.unique(text * size + codes, return_counts=True)
+                most = np.zeros(b - a, np.int64)  # the commonest word of each text; of equals, that of the largest checksum
+                np.maximum.at(most, pair // size, (times << 32) + (sums[pair % size] if len(pair) else 0))
+                group = (most & 0xFFFFFFFF) % GROUPS
+                table = np.bincount(codes * GROUPS + group[text], minlength=size * GROUPS)
+                at = np.flatnonzero(table)
+                ends = np.bincount(group, minlength=GROUPS)
+                has = np.flatnonzero(ends)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.concat_arrays([words.take(pa.array(at // GROUPS)).cast(pa.string()), pa.array([END] * len(has), pa.string())]), pa.array(np.append(at % GROUPS, has).astype(np.int32)), pa.array(np.append(table[at], ends[has]).astype(np.int64))],
+                    names=["word", "grp", "n"],
+                )
 
     n = train.select("text").mapInArrow(run, "word string, grp int, n long")
     return n.groupBy("word").agg(F.sum("n").alias("c"), *[F.sum(F.when(F.col("grp") == g, F.col("n")).otherwise(0)).alias(f"g{g}") for g in range(GROUPS)])
 
 
-@dataclass
-class Vocabulary:
-    """Head words with class, log10 P(word | class) and log10 (c + 1)."""
-
-    words: dict[bytes, int] = field(default_factory=dict)
-    of_class: np.ndarray = None
-    in_class: np.ndarray = None
-    log_count: np.ndarray = None
-    class_mass: np.ndarray = None
-    total: int = 0
-    distinct: int = 0
-
-    @property
-    def log_all(self) -> float:
-        return math.log10(self.total + self.distinct + 1)
-
-
 def _least_count(counts: DataFrame, head: int) -> int:
     """The least count at which at most ``head`` words are left, from a histogram of some thousand bins.
 
@@ -122,154 +126,209 @@ def _least_count(counts: DataFrame, head: int) -> int:
     return least
 
 
-def build_vocabulary(counts: DataFrame, head: int = HEAD, classes: int = CLASSES) -> Vocabulary:
-    """Classes of the ``head`` most frequent words: by the group of texts they are most in, then bands of equal mass.
+@dataclass
+class Vocabulary:
+    """What the passes share: places and log10 (c + 1) of head words, classes and slots, and the mass of each slot."""
+
+    words: dict[str, int]
+    log_count: np.ndarray
+    own: dict[str, int]  # a word with a slot of its own: class and slot as one number
+    of_ending: np.ndarray  # class of a word by its last two bytes
+    mass: np.ndarray  # (CLASSES, SLOTS)
+    total: int
+    distinct: int
+
+    @property
+    def log_all(self) -> float:
+        return math.log10(self.total + self.distinct + 1)
 
-    The last class is that of all other words, known or not; one unit of mass is for unknown ones.
+    def codes(self, words: list[str], sums: np.ndarray) -> np.ndarray:
+        """Class, slot and a part of the checksum of each word, as one number below 2^31."""
+        ends = np.fromiter((int.from_bytes(w.encode()[-2:], "big") for w in words), np.int64, len(words))
+        at = self.of_ending[ends].astype(np.int64) * SLOTS + sums % SLOTS
+        own = np.fromiter((self.own.get(w, -1) for w in words), np.int64, len(words))
+        return np.where(own >= 0, own, at) << HASH_BITS | sums & ((1 << HASH_BITS) - 1)
+
+
+def _bands(group: np.ndarray, mass: np.ndarray, bands: int) -> np.ndarray:
+    """Neighbours by group, then falling mass, in bands of about equal (root) mass."""
+    order = np.lexsort((-mass, group))
+    upto = np.cumsum(np.sqrt(mass[order]))
+    out = np.zeros(len(mass), np.int64)
+    if len(mass):
+        out[order] = np.minimum((upto - 1e-9) / upto[-1] * bands, bands - 1).astype(np.int64)
+    return out
+
+
+def build_vocabulary(counts: DataFrame, head: int = HEAD) -> Vocabulary:
+    """Classes and masses from the counts of all words.
+
+    The driver gets ``head`` words at most, one row for each ending (two bytes: 65,536 at most) and one for each slot.
     """
+    groups = [f"g{g}" for g in range(GROUPS)]
     all_of = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
-    rows = counts.filter(F.col("c") >= _least_count(counts, head)).orderBy(F.col("c").desc(), "word").collect()
-    v = Vocabulary(total=int(all_of["n"]), distinct=int(all_of["v"]))
+    rows = counts.filter(F.col("c") >= _least_count(counts, max(head, OWN_CLASSES * SLOTS))).orderBy(F.col("c").desc(), "word").collect()
     c = np.array([r["c"] for r in rows], np.float64)
-    group = np.array([np.argmax([r[f"g{g}"] for g in range(GROUPS)]) for r in rows], np.int64)
-    order = np.lexsort((np.arange(len(c)), group))  # by group, then falling count
-    mass = c + 1
-    of_class = np.zeros(len(c), np.int64)
-    if len(c):
-        upto = np.cumsum(np.sqrt(mass[order]))
-        of_class[order] = np.minimum((upto - 1e-9) / upto[-1] * (classes - 1), classes - 2).astype(np.int64)
-    class_mass = np.bincount(of_class, mass, classes) if len(c) else np.zeros(classes)
-    class_mass[classes - 1] = v.total - c.sum() + (v.distinct - len(c)) + 1
-    v.words = {r["word"].encode(): i for i, r in enumerate(rows)}
-    v.of_class, v.class_mass = of_class, class_mass
-    v.log_count = np.log10(mass)
-    v.in_class = v.log_count - np.log10(np.maximum(class_mass[of_class], 1e-300)) if len(c) else v.log_count
-    return v
+    mine = rows[: OWN_CLASSES * SLOTS]
+    group = np.array([np.argmax([r[g] for g in groups]) for r in mine], np.int64)
+    own = {mine[i]["word"]: k for k, i in enumerate(np.lexsort((np.arange(len(mine)), group)).tolist())}
+
+    raw = F.col("word").cast("binary")
+    ending = F.conv(F.hex(F.substring(raw, -2, 2)), 16, 10).cast("int")
+    ends = counts.groupBy(ending.alias("e")).agg(*[F.sum(g).alias(g) for g in groups]).collect()
+    by_group = np.array([[r[g] for g in groups] for r in ends], np.float64).reshape(-1, GROUPS)
+    shared = CLASSES - OWN_CLASSES
+    of_ending = (OWN_CLASSES + (np.arange(1 << 16) * 40_503 >> 7) % shared).astype(np.int8)  # of endings that no word has
+    if len(ends):
+        of_ending[[r["e"] for r in ends]] = OWN_CLASSES + _bands(by_group.argmax(axis=1), by_group.sum(axis=1), shared)
+
+    spark = counts.sparkSession
+    table = spark.createDataFrame([(r["e"], int(of_ending[r["e"]])) for r in ends], "e int, class int")
+    slot = F.pmod(F.crc32(raw), F.lit(SLOTS)).cast("int")
+    sums = counts.select(ending.alias("e"), slot.alias("slot"), "c").join(F.broadcast(table), "e").groupBy("class", "slot").agg(F.sum(F.col("c") + 1).alias("m")).collect()
+    mass = np.zeros((CLASSES, SLOTS))
+    for r in sums:
+        mass[r["class"], r["slot"]] = r["m"]
+    for r in mine:
+        raw_word = r["word"].encode()
+        mass[of_ending[int.from_bytes(raw_word[-2:], "big")], zlib.crc32(raw_word) % SLOTS] -= r["c"] + 1
+        mass[divmod(own[r["word"]], SLOTS)] += r["c"] + 1
+    mass[OWN_CLASSES:] += 1  # for words that no training text has
+    return Vocabulary({r["word"]: i for i, r in enumerate(rows)}, np.log10(c + 1), own, of_ending, mass, int(all_of["n"]), int(all_of["v"]))
 
 
 # ---------------------------------------------------------------- features and gradients
 
 
-class Encoder(dict):
-    """Word to (place in the head or -1, hash); worked out once per word."""
-
-    def __init__(self, words: dict[bytes, int]):
-        super().__init__()
-        self.words = words
-
-    def __missing__(self, w: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        code = (self.words.get(w, -1) + 1) << 32 | zlib.crc32(w)
-        self[w] = code
-        return code
+def feature_rows(train_tokens: int) -> int:
+    """Rows of the weight table: a power of two near 16 times the cube root of the training tokens, 4,096 at least."""
+    return 1 << max(12, round(math.log2(16 * max(1, train_tokens) ** (1 / 3))))
 
 
-def features(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Feature buckets (tokens, 4) from word hashes of several texts; ``first`` marks where a text begins.
+def features(codes: np.ndarray, first: np.ndarray, n_rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of the class's four features and of the slot's two, (features, tokens); ``first`` marks where a text begins.
 
     Ahead of a text's first word there is an empty word.
     """
-    n = len(hashes)
+    n = len(codes)
     age = np.arange(n) - np.maximum.accumulate(np.where(first, np.arange(n), 0))
-    h = hashes.astype(np.uint64)
+    h = (codes & ((1 << HASH_BITS) - 1)).astype(np.uint64)
 
     def back(k: int) -> np.ndarray:
-        out = np.zeros(n, np.uint64)
-        out[k:] = h[:-k]
+        out = np.full(n, 0x9E3779B9, np.uint64)
+        out[k:] = h[:-k] if n > k else out[k:]
         out[age < k] = 0x9E3779B9
         return out
 
     one, two, three = back(1), back(2), back(3)
+    shift = np.uint64(64 - (n_rows.bit_length() - 1))
     mix = np.uint64(0x9E3779B97F4A7C15)
 
-    def bucket(x: np.ndarray, kind: int) -> np.ndarray:
-        x = (x + np.uint64(kind * 0x51ED27)) * mix
-        return (x >> np.uint64(40)) % np.uint64(BUCKETS)
+    def row(x: np.ndarray, kind: int) -> np.ndarray:
+        x = (x + np.uint64(kind * 0x51ED27 + 1)) * mix
+        return ((x ^ (x >> np.uint64(29))) * mix >> shift).astype(np.int64)
 
-    return np.stack([bucket(one, 1), bucket(one * np.uint64(31) ^ two << np.uint64(7), 2), bucket(two, 3), bucket(three, 4)], axis=1).astype(np.int64)
+    both = one * np.uint64(0x1F35) ^ two << np.uint64(23)
+    of_class = (codes >> (HASH_BITS + 5)).astype(np.uint64) << np.uint64(45)
+    return np.stack([row(one, 1), row(both, 2), row(two, 3), row(three, 4)]), np.stack([row(one ^ of_class, 5), row(both ^ of_class, 6)])
 
 
-def start_weights(v: Vocabulary) -> np.ndarray:
-    """Feature weights, and in the last row the classes' own: the logarithm of their mass."""
-    w = np.zeros((BUCKETS + 1, len(v.class_mass)), np.float32)
-    w[-1] = np.log(np.maximum(v.class_mass, 1e-9))
-    return w
+def targets(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    at = codes >> HASH_BITS
+    return at // SLOTS, at % SLOTS
 
 
-def log_classes(weights: np.ndarray, f: np.ndarray) -> np.ndarray:
-    """Natural log probabilities of all classes, (tokens, classes)."""
-    z = weights[f[:, 0]] + weights[f[:, 1]] + weights[f[:, 2]] + weights[f[:, 3]] + weights[-1]
+@dataclass
+class Model:
+    """Weights of classes and slots side by side, (rows, CLASSES + SLOTS), and the logarithms of the masses."""
+
+    weights: np.ndarray
+    class_bias: np.ndarray
+    slot_bias: np.ndarray
+
+    @classmethod
+    def fresh(cls, v: Vocabulary) -> Model:
+        tiny = 1e-9
+        return cls(np.zeros((feature_rows(v.total), CLASSES + SLOTS), np.float32), np.log(v.mass.sum(axis=1) + tiny).astype(np.float32), np.log(v.mass + tiny).astype(np.float32))
+
+    def log_classes(self, f: np.ndarray) -> np.ndarray:
+        """Natural log probabilities of all classes, (tokens, CLASSES)."""
+        return _log_softmax(sum(self.weights[r, :CLASSES] for r in f) + self.class_bias)
+
+    def log_slots(self, f: np.ndarray, classes: np.ndarray) -> np.ndarray:
+        """Natural log probabilities of all slots of each token's class, (tokens, SLOTS)."""
+        return _log_softmax(sum(self.weights[r, CLASSES:] for r in f) + self.slot_bias[classes])
+
+    def step(self, f: np.ndarray, g: np.ndarray, classes: np.ndarray, slots: np.ndarray, squares: np.ndarray) -> None:
+        """One gradient step on a batch, scaled for each row and softmax by the gradients seen so far."""
+        at = np.arange(len(classes))
+        for k, rows, z, target in ((0, f, self.log_classes(f), classes), (1, g, self.log_slots(g, classes), slots)):
+            d = np.exp(z, out=z)
+            d[at, target] -= 1
+            by_value, flat, n = np.ascontiguousarray(d.T, np.float64), rows.ravel(), len(self.weights)
+            total = np.empty((len(by_value), n), np.float32)
+            for i, x in enumerate(by_value):
+                total[i] = np.bincount(flat, np.tile(x, len(rows)), n)
+            squares[k] += np.einsum("ij,ij->j", total, total) / len(total)
+            part = slice(0, CLASSES) if k == 0 else slice(CLASSES, None)
+            self.weights[:, part] -= (RATE / (CAUTION + np.sqrt(squares[k])) * total).T
+
+    def log10(self, codes: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """log10 probability of each token's class and slot."""
+        f, g = features(codes, first, len(self.weights))
+        classes, slots = targets(codes)
+        out = np.empty(len(codes))
+        for b in range(0, len(codes), BATCH):
+            part = slice(b, b + BATCH)
+            at = np.arange(len(classes[part]))
+            out[part] = self.log_classes(f[:, part])[at, classes[part]] + self.log_slots(g[:, part], classes[part])[at, slots[part]]
+        return out / math.log(10)
+
+
+def _log_softmax(z: np.ndarray) -> np.ndarray:
     z -= z.max(axis=1, keepdims=True)
     z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
     return z
 
 
-def step(weights: np.ndarray, f: np.ndarray, target: np.ndarray, squares: np.ndarray) -> None:
-    """One gradient step on a batch, scaled per bucket by the gradients seen so far."""
-    g = np.exp(log_classes(weights, f))
-    g[np.arange(len(target)), target] -= 1
-    buckets, place = np.unique(f.T.ravel(), return_inverse=True)
-    by_class = np.tile(np.ascontiguousarray(g.T, np.float64), (1, f.shape[1]))
-    total = np.empty((len(by_class), len(buckets)), np.float32)
-    for c, row in enumerate(by_class):
-        total[c] = np.bincount(place, row, len(buckets))
-    squares[buckets] += np.square(total).mean(axis=0)
-    weights[buckets] -= (RATE / (CAUTION + np.sqrt(squares[buckets])) * total).T
-
-
-def coded(encoder: Encoder, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[list[bytes]]]:
-    """Codes of all tokens, where texts begin, number of tokens of each, and the tokens."""
-    words = [tokens(t) for t in texts]
-    n = np.array([len(w) for w in words])
-    codes = np.fromiter(map(encoder.__getitem__, itertools.chain.from_iterable(words)), np.int64, int(n.sum()))
-    first = np.zeros(len(codes), bool)
-    first[np.cumsum(n) - n] = True
-    return codes, first, n, words
-
-
-def blocks(column: pa.Array, chars: int = 400_000) -> Iterator[tuple[int, list[str]]]:
-    at, block, size = 0, [], 0
-    for i, x in enumerate(column):
-        block.append(x.as_py() or "")
-        size += len(block[-1])
-        if size >= chars:
-            yield at, block
-            at, block, size = i + 1, [], 0
-    if block:
-        yield at, block
-
-
-@functools.lru_cache(maxsize=1)
-def _encoder(key: str, words) -> Encoder:
-    return Encoder(words.value.words)
-
-
-def train(docs: DataFrame, vocabulary: Broadcast, rounds: int = ROUNDS) -> np.ndarray:
-    """Weights after ``rounds`` rounds; each training document takes part in one of them."""
-    spark, v = docs.sparkSession, vocabulary.value
-    weights, classes = start_weights(v), len(v.class_mass)
-    if not v.total:
-        return weights
-    rows_a_block = -(-BUCKETS // BLOCKS)
+def code_blocks(column: pa.Array, tokens: int = 200_000) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Ranges of rows with their codes, where texts begin, and the numbers of tokens."""
+    for a, b in blocks(column, 4 * tokens):
+        raw = [x.as_buffer() for x in column.slice(a, b - a)]
+        n = np.array([len(x) // 4 for x in raw])
+        codes = np.concatenate([np.frombuffer(x, "<u4") for x in raw]).astype(np.int64)
+        first = np.zeros(len(codes), bool)
+        first[np.cumsum(n) - n] = True
+        yield a, b, codes, first, n
+
+
+def train(coded: DataFrame, model: Model, rounds: int = ROUNDS) -> None:
+    """Train ``model`` in place on ``coded`` (``row``, ``held_out``, ``codes``); each training document takes part in one round."""
+    spark = coded.sparkSession
+    n_rows = len(model.weights)
+    rows_a_block = -(-n_rows // BLOCKS)
+    width = CLASSES + SLOTS
     for r in range(rounds):
-        now = spark.sparkContext.broadcast(weights)
+        now = spark.sparkContext.broadcast(model)
 
-        def run(batches: Iterator[pa.RecordBatch], now=now) -> Iterator[pd.DataFrame]:
-            v, encoder = vocabulary.value, _encoder(str(id(vocabulary)), vocabulary)
-            w, squares, n = now.value.copy(), np.zeros(BUCKETS + 1, np.float32), 0
-            of_class = np.append(v.of_class, classes - 1)  # place -1 is the class of other words
+        def run(batches: Iterator[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:
+            old = now.value
+            mine, squares, n = Model(old.weights.copy(), old.class_bias, old.slot_bias), np.zeros((2, n_rows), np.float32), 0
+            batch_size = max(BATCH, n_rows // 2)
             for batch in batches:
-                for _, texts in blocks(batch.column(0)):
-                    codes, first, _, _ = coded(encoder, texts)
-                    f, target = features(codes & 0xFFFFFFFF, first), of_class[(codes >> 32) - 1]
-                    for at in range(0, len(target), BATCH):
-                        step(w, f[at : at + BATCH], target[at : at + BATCH], squares)
-                    n += len(target)
-            delta = (w - now.value)[:BUCKETS]
+                for _, _, codes, first, _ in code_blocks(batch.column(0)):
+                    f, g = features(codes, first, n_rows)
+                    classes, slots = targets(codes)
+                    for at in range(0, len(codes), batch_size):
+                        part = slice(at, at + batch_size)
+                        mine.step(f[:, part], g[:, part], classes[part], slots[part], squares)
+                    n += len(codes)
             if n:
-                parts = [delta[b * rows_a_block : (b + 1) * rows_a_block].astype("<f4").tobytes() for b in range(BLOCKS)]
-                yield pa.RecordBatch.from_pandas(pd.DataFrame({"block": range(BLOCKS), "slot": (TaskContext.get().partitionId() if TaskContext.get() else 0) % 64, "n": n, "delta": parts}).astype({"block": "int32", "slot": "int32"}), preserve_index=False)
+                delta = (mine.weights - old.weights).astype("<f4")
+                parts = [delta[b * rows_a_block : (b + 1) * rows_a_block].tobytes() for b in range(BLOCKS)]
+                context = TaskContext.get()
+                slot = (context.partitionId() if context else 0) % 64
+                yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), pa.int32()), pa.array([slot] * BLOCKS, pa.int32()), pa.array([n] * BLOCKS, pa.int64()), pa.array(parts, pa.binary())], names=["block", "slot", "n", "delta"])
 
         def mean(frame: pd.DataFrame) -> pd.DataFrame:
             n = frame["n"].sum()
@@ -277,18 +336,62 @@ def train(docs: DataFrame, vocabulary: Broadcast, rounds: int = ROUNDS) -> np.nd
             return pd.DataFrame({"block": frame["block"][:1], "slot": frame["slot"][:1], "n": [n], "delta": [total.astype("<f4").tobytes()]})
 
         schema = "block int, slot int, n long, delta binary"
-        mine = docs.filter(~F.col("held_out") & (F.pmod(F.xxhash64("_id", "text"), F.lit(rounds)) == r))
-        deltas = mine.select("text").mapInArrow(run, schema).groupBy("block", "slot").applyInPandas(mean, schema)
-        deltas = deltas.groupBy("block").applyInPandas(mean, schema).collect()
-        for x in deltas:
-            d = np.frombuffer(x["delta"], "<f4").reshape(-1, classes)
-            weights[x["block"] * rows_a_block : x["block"] * rows_a_block + len(d)] += d
+        mine = coded.filter(~F.col("held_out") & (F.pmod(F.xxhash64("row"), F.lit(rounds)) == r))
+        deltas = mine.select("codes").mapInArrow(run, schema).groupBy("block", "slot").applyInPandas(mean, schema)
+        for x in deltas.groupBy("block").applyInPandas(mean, schema).collect():
+            d = np.frombuffer(x["delta"], "<f4").reshape(-1, width)
+            model.weights[x["block"] * rows_a_block : x["block"] * rows_a_block + len(d)] += d
         now.unpersist()
-    return weights
 
 
 # ---------------------------------------------------------------- scores
 
+CODED = "held_out boolean, row long, n_tokens long, n_head long, head_log double, rest array<struct<word:string,tf:bigint>>, codes binary"
+
+
+def encode(docs: DataFrame, vocabulary, kind: str) -> DataFrame:
+    """Every text as codes, the sum of its head words' log10 (c + 1), and its other words with their numbers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = vocabulary.value
+        end_code, end_at = int(v.codes([END], checksums([END]))[0]), v.words.get(END, -1)
+        context = TaskContext.get()
+        row = (context.partitionId() if context else 0) << 33
+        for batch in batches:
+            for a, b in blocks(batch.column(1), BLOCK_BYTES):
+                m = b - a
+                words, codes, n = split_words(batch.column(1).slice(a, m))
+                names, size = strings(words), max(1, len(words))
+                of_word, head = v.codes(names, checksums(names)), np.fromiter((v.words.get(w, -1) for w in names), np.int64, len(names))
+                ends = np.cumsum(n + 1)
+                whole = np.empty(int(ends[-1]), np.int64)  # each text's words and its end
+                inner = np.ones(len(whole), bool)
+                inner[ends - 1] = False
+                whole[inner], whole[ends - 1] = of_word[codes], end_code
+                place = np.full(len(whole), end_at, np.int64)
+                place[inner] = head[codes]
+                known = place >= 0
+                logs = np.where(known, np.append(v.log_count, 0.0)[place], 0.0)
+                begin = ends - n - 1
+                text = np.repeat(np.arange(m), n)
+                tail = head[codes] < 0
+                pair, tf = np.unique(text[tail] * size + codes[tail], return_counts=True)
+                rest = [words.take(pa.array(pair % size)).cast(pa.string()), pa.array(tf, pa.int64())]
+                upto = np.searchsorted(pair, np.arange(m + 1) * size).astype(np.int32)
+                raw = memoryview(whole.astype("<u4").tobytes())
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).slice(a, m), batch.column(2).slice(a, m), pa.array(np.arange(row, row + m)), pa.array((n + 1).astype(np.int64)),
+                        pa.array(np.add.reduceat(known, begin, dtype=np.int64)), pa.array(np.add.reduceat(logs, begin)),
+                        pa.ListArray.from_arrays(pa.array(upto), pa.StructArray.from_arrays(rest, names=["word", "tf"])),
+                        pa.array([raw[4 * i : 4 * j] for i, j in zip(begin.tolist(), ends.tolist(), strict=True)], pa.binary()),
+                    ],
+                    names=["_id", *(x.split()[0] for x in CODED.split(", "))],
+                )
+                row += m
+
+    return docs.select("_id", "text", "held_out").mapInArrow(run, f"_id {kind}, {CODED}")
+
 
 def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", head: int = HEAD) -> DataFrame:
     """Score every row of ``df`` by a model trained on those that aren't held out.
@@ -296,54 +399,35 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", head: i
     Returns ``<id_col>``, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` and ``score``
     (log10 probabilities of the whole text and its end). A null text is empty: its one token is
     the end. Repeated rows are scored alike. Without training rows every token has probability 1.
+    An empty table gives an empty table. Other columns don't matter. A text of any length is scored whole.
     """
     docs = df.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), held_out(F.col(id_col)).alias("held_out"))
     counts = settle(count_words(docs.filter(~F.col("held_out"))), "word_counts")
     v = build_vocabulary(counts, head)
     context = df.sparkSession.sparkContext
-    shared = context.broadcast(v)  # one for all passes, so that workers keep what they have worked out of it
-    model = context.broadcast(train(docs, shared))
     kind = df.schema[id_col].dataType.simpleString()
+    coded = settle(encode(docs, context.broadcast(v), kind), "codes")
+    model = Model.fresh(v)
+    if v.total:
+        train(coded, model)
+    shared, log_mass = context.broadcast(model), np.log10(v.mass + 1e-9)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, w, encoder = shared.value, model.value, _encoder(str(id(shared)), shared)
-        classes = len(v.class_mass)
-        of_class, in_class, log_count = np.append(v.of_class, classes - 1), np.append(v.in_class, 0.0), np.append(v.log_count, 0.0)
-        context = TaskContext.get()
-        row = (context.partitionId() if context else 0) << 33
-        rest_mass = math.log10(v.class_mass[-1])
+        model = shared.value
         for batch in batches:
-            for at, texts in blocks(batch.column(1)):
-                codes, first, n, words = coded(encoder, texts)
-                f, place = features(codes & 0xFFFFFFFF, first), (codes >> 32) - 1
-                target = of_class[place]
-                by_class = np.empty(len(codes))
-                for b in range(0, len(codes), BATCH):
-                    part = slice(b, b + BATCH)
-                    by_class[part] = log_classes(w, f[part])[np.arange(len(target[part])), target[part]]
-                tail = place < 0
-                sums = [np.add.reduceat(x, np.cumsum(n) - n) for x in (log_count[place] - v.log_all, by_class / math.log(10) + np.where(tail, -rest_mass, in_class[place]), ~tail)]
-                rest_words, rest_n, rest_ends, start = [], [], [0], 0
-                for ws, k in zip(words, n.tolist(), strict=True):
-                    mine = Counter(map(ws.__getitem__, np.flatnonzero(tail[start : start + k]).tolist()))
-                    rest_words += mine
-                    rest_n += mine.values()
-                    rest_ends.append(len(rest_n))
-                    start += k
-                rest = pa.StructArray.from_arrays([pa.array(rest_words, pa.binary()).cast(pa.string()), pa.array(rest_n, pa.int64())], names=["word", "tf"])
-                rest = pa.ListArray.from_arrays(pa.array(rest_ends, pa.int32()), rest)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, len(texts)), batch.column(2).slice(at, len(texts)), pa.array(np.arange(row, row + len(texts))), pa.array(n.astype(np.int64)), pa.array(sums[2].astype(np.int64)), pa.array(sums[0].astype(float)), pa.array(sums[1].astype(float)), rest],
-                    names=["_id", "held_out", "row", "n_tokens", "n_head", "base", "model", "rest"],
-                )
-                row += len(texts)
+            for a, b, codes, first, n in code_blocks(batch.column(batch.num_columns - 1)):
+                logs = model.log10(codes, first) - log_mass[targets(codes)]
+                sums = np.add.reduceat(logs, np.cumsum(n) - n)
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in range(6)), pa.array(sums.astype(float))], names=[*batch.schema.names[:6], "model"])
 
-    scored = settle(docs.select("_id", "text", "held_out").mapInArrow(run, f"_id {kind}, held_out boolean, row long, n_tokens long, n_head long, base double, model double, rest array<struct<word:string,tf:bigint>>"), "scored")
+    slim = ["_id", *(x.split()[0] for x in CODED.split(", ")[:5])]
+    scored = coded.select(*slim, "codes").mapInArrow(run, f"_id {kind}, " + ", ".join(CODED.split(", ")[:5]) + ", model double")
     # Counts of the other words: unknown ones have none, and log10(0 + 1) is 0.
-    others = scored.select("row", F.explode("rest").alias("r")).select("row", F.col("r.word").alias("word"), F.col("r.tf").alias("tf"))
+    others = coded.select("row", F.explode("rest").alias("r")).select("row", F.col("r.word").alias("word"), F.col("r.tf").alias("tf"))
     found = others.join(counts.select("word", "c"), "word").groupBy("row").agg(F.sum("tf").alias("known"), F.sum(F.col("tf") * F.log10(F.col("c") + 1)).alias("more"))
-    more = F.coalesce("more", F.lit(0.0))
-    return scored.drop("rest").join(found, "row", "left").select(
+    logs = F.col("head_log") + F.coalesce("more", F.lit(0.0))
+    base = logs - F.col("n_tokens") * F.lit(v.log_all)
+    return scored.join(found, "row", "left").select(
         F.col("_id").alias(id_col), "held_out", "n_tokens", (F.col("n_head") + F.coalesce("known", F.lit(0))).alias("n_known"),
-        F.lit(v.total).cast("long").alias("train_tokens"), (F.col("base") + more).alias("base_score"), (F.col("model") + more).alias("score"),
+        F.lit(v.total).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("model") + logs if v.total else base).alias("score"),
     )

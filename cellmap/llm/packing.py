@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, pre_tokenizers
 
-from .common import n_partitions, settle
+from .common import blocks, n_partitions, settle, strings
 
 GROUP = 4_096
 ISLANDS = 2
@@ -50,14 +50,6 @@ PLAIN = "^[!-~\u00c0-\u00ff]*$"
 # ---------------------------------------------------------------- tokens
 
 
-def _strings(words: pa.Array) -> list[str]:
-    """An array of words without white space as a list; one long text is cheaper to hand over than each word."""
-    if not len(words):
-        return []
-    whole = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words)
-    return pc.binary_join(whole, " ")[0].as_py().split(" ")
-
-
 def _bytes(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Data and ends of a binary array that isn't a slice."""
     ends = np.frombuffer(values.buffers()[1], np.int32)[: len(values) + 1] if len(values) else np.zeros(1, np.int32)
@@ -112,12 +104,12 @@ class WordIds:
         column = column.filter(plain)
         split = pc.ascii_split_whitespace(pc.replace_substring_regex(pc.utf8_lower(column), PARTS, r"\1 "))
         coded = split.flatten().dictionary_encode()
-        names = _strings(coded.dictionary)
+        names = strings(coded.dictionary)
         if new := [p for p in names if p not in self.parts]:
             self._learn_parts(new)
         data, ends = _bytes(pa.array([self.parts[p] for p in names], pa.binary()).take(coded.indices))
         raw, cuts = data.tobytes(), ends[split.offsets.to_numpy()].tolist()
-        self.words.update((w, raw[a:b]) for w, a, b in zip(_strings(column), cuts[:-1], cuts[1:], strict=True))
+        self.words.update((w, raw[a:b]) for w, a, b in zip(strings(column), cuts[:-1], cuts[1:], strict=True))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after the other, and where each text's begin and end. A null text is empty."""
@@ -129,7 +121,7 @@ class WordIds:
             self.clear()
         split = pc.ascii_split_whitespace(texts)
         coded = split.flatten().dictionary_encode()
-        words = _strings(coded.dictionary)
+        words = strings(coded.dictionary)
         if new := [w for w in words if w not in self.words]:
             self._learn(new)
         data, ends = _bytes(pa.array([self.words[w] for w in words], pa.binary()).take(coded.indices))
@@ -144,16 +136,6 @@ def word_ids(path: str) -> WordIds:
 PIECE = "piece int, start long, length long, ids_crc32 long"
 
 
-def blocks(texts: pa.Array, most_bytes: int) -> Iterator[tuple[int, int]]:
-    """Ranges of rows, in order, of about ``most_bytes`` bytes of text each; a longer text is a range of its own."""
-    upto, at = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)), 0
-    while at < len(upto):
-        before = int(upto[at - 1]) if at else 0
-        end = max(at + 1, int(np.searchsorted(upto, before + most_bytes, "right")))
-        yield at, end
-        at = end
-
-
 def pieces(df: DataFrame, path: str, id_col: str, text_col: str, capacity: int, end_id: int, block_bytes: int = 6_000_000) -> DataFrame:
     """Cut every document's ids (and ``end_id``) into pieces of at most ``capacity``; a null text counts as empty."""
     kind = df.schema[id_col].dataType.simpleString()
