@@ -2,8 +2,8 @@
 
 P(word | history) = P(class | history) P(slot | class, history) P(word | slot). The first two are
 softmaxes over sums of weights of hashed features. The class sees the word before, the two
-words before, and the words two and three places before alone (skips); the slot within its class
-sees the word before and the two words before, each joined with the class. The most frequent words
+words before, and the word two places before alone (a skip); the slot within its class sees the
+word before, joined with the class. The most frequent words
 have slots of their own, so there the slot is the word; every other word, seen or not, shares the
 slot of its hash with others, in a class by its ending, and follows its count there. With all
 weights at zero the model is a smoothed unigram model.
@@ -206,7 +206,7 @@ def feature_rows(train_tokens: int) -> int:
 
 
 def features(codes: np.ndarray, first: np.ndarray, n_rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of the class's four features and of the slot's two, (features, tokens); ``first`` marks where a text begins.
+    """Rows of the class's three features and of the slot's one, (features, tokens); ``first`` marks where a text begins.
 
     Ahead of a text's first word there is an empty word.
     """
@@ -220,7 +220,7 @@ def features(codes: np.ndarray, first: np.ndarray, n_rows: int) -> tuple[np.ndar
         out[age < k] = 0x9E3779B9
         return out
 
-    one, two, three = back(1), back(2), back(3)
+    one, two = back(1), back(2)
     shift = np.uint64(64 - (n_rows.bit_length() - 1))
     mix = np.uint64(0x9E3779B97F4A7C15)
 
@@ -228,9 +228,8 @@ def features(codes: np.ndarray, first: np.ndarray, n_rows: int) -> tuple[np.ndar
         x = (x + np.uint64(kind * 0x51ED27 + 1)) * mix
         return ((x ^ (x >> np.uint64(29))) * mix >> shift).astype(np.int64)
 
-    both = one * np.uint64(0x1F35) ^ two << np.uint64(23)
     of_class = (codes >> (HASH_BITS + 5)).astype(np.uint64) << np.uint64(45)
-    return np.stack([row(one, 1), row(both, 2), row(two, 3), row(three, 4)]), np.stack([row(one ^ of_class, 5), row(both ^ of_class, 6)])
+    return np.stack([row(one, 1), row(one * np.uint64(0x1F35) ^ two << np.uint64(23), 2), row(two, 3)]), row(one ^ of_class, 4)[None]
 
 
 def targets(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -240,55 +239,65 @@ def targets(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Model:
-    """Weights of classes and slots side by side, (rows, CLASSES + SLOTS), and the logarithms of the masses."""
+    """Weights of classes (rows, CLASSES) and of slots (rows, SLOTS), and what they add to: the logarithms of the masses' shares."""
 
-    weights: np.ndarray
+    of_class: np.ndarray
+    of_slot: np.ndarray
     class_bias: np.ndarray
     slot_bias: np.ndarray
 
     @classmethod
     def fresh(cls, v: Vocabulary) -> Model:
-        tiny = 1e-9
-        return cls(np.zeros((feature_rows(v.total), CLASSES + SLOTS), np.float32), np.log(v.mass.sum(axis=1) + tiny).astype(np.float32), np.log(v.mass + tiny).astype(np.float32))
+        n, mass = feature_rows(v.total), v.mass + 1e-9
+        by_class = mass.sum(axis=1, keepdims=True)
+        return cls(np.zeros((n, CLASSES), np.float32), np.zeros((n, SLOTS), np.float32), np.log(by_class[:, 0] / by_class.sum()).astype(np.float32), np.log(mass / by_class).astype(np.float32))
 
-    def log_classes(self, f: np.ndarray) -> np.ndarray:
-        """Natural log probabilities of all classes, (tokens, CLASSES)."""
-        return _log_softmax(sum(self.weights[r, :CLASSES] for r in f) + self.class_bias)
+    def classes(self, f: np.ndarray) -> np.ndarray:
+        """Unnormalised log probabilities of all classes, (tokens, CLASSES)."""
+        return _sums(self.of_class, f, self.class_bias)
 
-    def log_slots(self, f: np.ndarray, classes: np.ndarray) -> np.ndarray:
-        """Natural log probabilities of all slots of each token's class, (tokens, SLOTS)."""
-        return _log_softmax(sum(self.weights[r, CLASSES:] for r in f) + self.slot_bias[classes])
+    def slots(self, g: np.ndarray, classes: np.ndarray) -> np.ndarray:
+        """Unnormalised log probabilities of all slots of each token's class, (tokens, SLOTS)."""
+        return _sums(self.of_slot, g, np.take(self.slot_bias, classes, axis=0))
 
     def step(self, f: np.ndarray, g: np.ndarray, classes: np.ndarray, slots: np.ndarray, squares: np.ndarray) -> None:
         """One gradient step on a batch, scaled for each row and softmax by the gradients seen so far."""
-        at = np.arange(len(classes))
-        for k, rows, z, target in ((0, f, self.log_classes(f), classes), (1, g, self.log_slots(g, classes), slots)):
-            d = np.exp(z, out=z)
-            d[at, target] -= 1
-            by_value, flat, n = np.ascontiguousarray(d.T, np.float64), rows.ravel(), len(self.weights)
-            total = np.empty((len(by_value), n), np.float32)
-            for i, x in enumerate(by_value):
-                total[i] = np.bincount(flat, np.tile(x, len(rows)), n)
-            squares[k] += np.einsum("ij,ij->j", total, total) / len(total)
-            part = slice(0, CLASSES) if k == 0 else slice(CLASSES, None)
-            self.weights[:, part] -= (RATE / (CAUTION + np.sqrt(squares[k])) * total).T
+        for weights, rows, z, target, seen in ((self.of_class, f, self.classes(f), classes, squares[0]), (self.of_slot, g, self.slots(g, classes), slots, squares[1])):
+            np.exp(z, out=z)
+            z *= (1 / _total(z))[:, None]
+            z[np.arange(len(target)), target] -= 1
+            flat, many, n = rows.ravel(), len(rows), len(weights)
+            total = np.empty((z.shape[1], n), np.float32)
+            for i, x in enumerate(np.ascontiguousarray(z.T, np.float64)):
+                total[i] = np.bincount(flat, np.concatenate([x] * many) if many > 1 else x, n)
+            seen += np.einsum("ij,ij->j", total, total) / len(total)
+            total *= RATE / (CAUTION + np.sqrt(seen))
+            weights -= total.T
 
     def log10(self, codes: np.ndarray, first: np.ndarray) -> np.ndarray:
         """log10 probability of each token's class and slot."""
-        f, g = features(codes, first, len(self.weights))
+        f, g = features(codes, first, len(self.of_class))
         classes, slots = targets(codes)
         out = np.empty(len(codes))
         for b in range(0, len(codes), BATCH):
             part = slice(b, b + BATCH)
             at = np.arange(len(classes[part]))
-            out[part] = self.log_classes(f[:, part])[at, classes[part]] + self.log_slots(g[:, part], classes[part])[at, slots[part]]
+            for k, (z, target) in enumerate(((self.classes(f[:, part]), classes[part]), (self.slots(g[:, part], classes[part]), slots[part]))):
+                mine = z[at, target] - np.log(_total(np.exp(z, out=z)))
+                out[part] = mine if k == 0 else out[part] + mine
         return out / math.log(10)
 
 
-def _log_softmax(z: np.ndarray) -> np.ndarray:
-    z -= z.max(axis=1, keepdims=True)
-    z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
-    return z
+def _sums(weights: np.ndarray, rows: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    out = np.take(weights, rows[0], axis=0)
+    for r in rows[1:]:
+        out += np.take(weights, r, axis=0)
+    out += bias
+    return np.minimum(out, 60, out=out)  # far above any sum of trained weights; keeps exponentials finite
+
+
+def _total(z: np.ndarray) -> np.ndarray:
+    return z @ np.ones(z.shape[1], z.dtype)
 
 
 def code_blocks(column: pa.Array, tokens: int = 200_000) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -305,7 +314,7 @@ def code_blocks(column: pa.Array, tokens: int = 200_000) -> Iterator[tuple[int,
 def train(coded: DataFrame, model: Model, rounds: int = ROUNDS) -> None:
     """Train ``model`` in place on ``coded`` (``row``, ``held_out``, ``codes``); each training document takes part in one round."""
     spark = coded.sparkSession
-    n_rows = len(model.weights)
+    n_rows = len(model.of_class)
     rows_a_block = -(-n_rows // BLOCKS)
     width = CLASSES + SLOTS
     for r in range(rounds):
@@ -313,8 +322,8 @@ def train(coded: DataFrame, model: Model, rounds: int = ROUNDS) -> None:
 
         def run(batches: Iterator[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:
             old = now.value
-            mine, squares, n = Model(old.weights.copy(), old.class_bias, old.slot_bias), np.zeros((2, n_rows), np.float32), 0
-            batch_size = max(BATCH, n_rows // 2)
+            mine, squares, n = Model(old.of_class.copy(), old.of_slot.copy(), old.class_bias, old.slot_bias), np.zeros((2, n_rows), np.float32), 0
+            batch_size = max(2 * BATCH, n_rows)
             for batch in batches:
                 for _, _, codes, first, _ in code_blocks(batch.column(0)):
                     f, g = features(codes, first, n_rows)
@@ -324,7 +333,7 @@ def train(coded: DataFrame, model: Model, rounds: int = ROUNDS) -> None:
                         mine.step(f[:, part], g[:, part], classes[part], slots[part], squares)
                     n += len(codes)
             if n:
-                delta = (mine.weights - old.weights).astype("<f4")
+                delta = np.concatenate([mine.of_class - old.of_class, mine.of_slot - old.of_slot], axis=1).astype("<f4")
                 parts = [delta[b * rows_a_block : (b + 1) * rows_a_block].tobytes() for b in range(BLOCKS)]
                 context = TaskContext.get()
                 slot = (context.partitionId() if context else 0) % 64
@@ -340,7 +349,9 @@ def train(coded: DataFrame, model: Model, rounds: int = ROUNDS) -> None:
         deltas = mine.select("codes").mapInArrow(run, schema).groupBy("block", "slot").applyInPandas(mean, schema)
         for x in deltas.groupBy("block").applyInPandas(mean, schema).collect():
             d = np.frombuffer(x["delta"], "<f4").reshape(-1, width)
-            model.weights[x["block"] * rows_a_block : x["block"] * rows_a_block + len(d)] += d
+            at = slice(x["block"] * rows_a_block, x["block"] * rows_a_block + len(d))
+            model.of_class[at] += d[:, :CLASSES]
+            model.of_slot[at] += d[:, CLASSES:]
         now.unpersist()
 
 

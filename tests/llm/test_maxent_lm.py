@@ -83,15 +83,18 @@ def test_probabilities(spark):
     inside[shared:] += 1
     assert np.allclose(inside, v.mass) and len(set(zip(classes[classes < shared], slots[classes < shared]))) == len(v.own)
     model, rng = m.Model.fresh(v), np.random.default_rng(0)
-    model.weights += rng.normal(size=model.weights.shape).astype(np.float32)
+    model.of_class += rng.normal(size=model.of_class.shape).astype(np.float32)
+    model.of_slot += rng.normal(size=model.of_slot.shape).astype(np.float32)
     first = rng.random(len(codes)) < 0.1
     first[0] = True
-    f, g = m.features(codes, first, len(model.weights))
-    assert f.shape == (4, len(codes)) and g.shape == (2, len(codes)) and f.max() < len(model.weights) and f.min() >= 0
-    assert np.allclose(np.exp(model.log_classes(f)).sum(axis=1), 1, atol=1e-4) and np.allclose(np.exp(model.log_slots(g, classes)).sum(axis=1), 1, atol=1e-4)
+    f, g = m.features(codes, first, len(model.of_class))
+    assert f.shape == (3, len(codes)) and g.shape == (1, len(codes)) and f.max() < len(model.of_class) and f.min() >= 0
+    p, q = np.exp(model.classes(f).astype(float)), np.exp(model.slots(g, classes).astype(float))
+    p, q, at = p / p.sum(axis=1, keepdims=True), q / q.sum(axis=1, keepdims=True), np.arange(len(codes))
+    assert np.allclose(10 ** model.log10(codes, first), p[at, classes] * q[at, slots], rtol=1e-3)
     fresh = m.Model.fresh(v)
     assert np.allclose(fresh.log10(codes, first), np.log10(v.mass[classes, slots] / v.mass.sum()), atol=1e-5)
-    squares, before = np.zeros((2, len(fresh.weights)), np.float32), fresh.log10(codes, first).mean()
+    squares, before = np.zeros((2, len(fresh.of_class)), np.float32), fresh.log10(codes, first).mean()
     for _ in range(10):
         fresh.step(f, g, classes, slots, squares)
     assert fresh.log10(codes, first).mean() > before
