@@ -97,4 +97,20 @@ def blocks(texts: pa.Array, most_bytes: int) -> Iterator[tuple[int, int]]:
         before = int(upto[at - 1]) if at else 0
         end = max(at + 1, int(np.searchsorted(upto, before + most_bytes, "right")))
         yield at, end
+        pa.default_memory_pool().release_unused()
         at = end
+
+
+def join_by_key(rows: DataFrame, facts: DataFrame, key: str, total: int | None = None) -> DataFrame:
+    """Inner join of ``rows`` with ``facts``, which has each key once, however many rows share a key.
+
+    Keys with more than a fair share of the rows (at most four a shuffle partition) get pieces: their
+    rows are dealt over the pieces by a hash, and their fact goes to each. Only those keys are broadcast.
+    ``total`` is the number of rows, if known.
+    """
+    share = max(64, (rows.count() if total is None else total) // (4 * n_partitions(rows.sparkSession)))
+    hot = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > share).select(key, F.ceil(F.col("_n") / share).cast("int").alias("_pieces"))
+    pieces = F.coalesce("_pieces", F.lit(1))
+    left = rows.join(F.broadcast(hot), key, "left").withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), pieces).cast("int")).drop("_pieces")
+    right = facts.join(F.broadcast(hot), key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), pieces - 1))).drop("_pieces")
+    return left.join(right, [key, "_salt"]).drop("_salt")

@@ -1,6 +1,6 @@
 """Connected components of a table of links, by alternating large and small stars.
 
-Every round is two joins on the larger end of links; the table that is left is written
+Every round is two joins on the larger end of links, with ends of very many links split; the table that is left is written
 to the shared folder, so rounds don't pile up in the plan and survive lost executors.
 Nothing is gathered on the driver but a count and a checksum.
 """
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import join_by_key, settle
 
 
 def _state(df: DataFrame) -> tuple[int, int]:
@@ -32,10 +32,10 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         # Large star: the larger neighbours of u, and u's least neighbour (or u).
         both = star.unionByName(star.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = join_by_key(both.filter("v > u"), least, "u", before[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # Small star: the smaller neighbours of u, and u itself, with the least of them.
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = join_by_key(large, least, "u", before[0]).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         star = settle(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "stars")
         now = _state(star)
         if now == before:

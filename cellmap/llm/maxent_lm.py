@@ -52,7 +52,7 @@ BATCH = 4_096
 RATE = 0.35
 #: Weighs against large first steps of features that are rare.
 CAUTION = 4.0
-BLOCK_BYTES = 12_000_000
+BLOCK_BYTES = 4_000_000
 
 
 def held_out(doc_id: Column) -> Column:

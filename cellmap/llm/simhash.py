@@ -4,7 +4,7 @@ Fingerprints of 64 bits link if at most ``radius`` bits differ. Bits that go tog
 grouped into partitions, and each partition gets a threshold of its own: if the thresholds
 t_i satisfy sum(t_i + 1) = radius + 1, two linked fingerprints differ in at most t_i bits of
 some partition (t_i = -1: the partition isn't probed). A dynamic program picks the thresholds
-of least cost, from the number of fingerprints and how often bits differ over all of them. A
+of least cost, from the number of fingerprints and how often bits differ, alone and together, over all of them. A
 partition with threshold t is probed by leaving out each t of its bits: linked fingerprints
 agree in the rest for one choice at least. All pairs that meet are verified in full.
 
@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import join_by_key, settle
 from .components import components
 
 BITS = 64
@@ -35,6 +35,8 @@ SEED = 42
 CELL = 2_048
 #: Cost of writing one probe, in units of one comparison.
 PROBE_COST = 40.0
+#: Cost of one more choice of left-out bits, whatever the table holds.
+MASK_COST = 100_000.0
 
 
 def fingerprint(text: str, words_a_shingle: int = 4) -> int:
@@ -113,16 +115,39 @@ def group_bits(n: int, counts: np.ndarray, parts: int) -> list[list[int]]:
     return groups
 
 
+def differences(n: int, counts: np.ndarray) -> np.ndarray:
+    """For each two bits, the chance that two fingerprints differ in both; on the diagonal, in that bit."""
+    both = counts / max(1, n)
+    p = np.diag(both)
+    first, second, none = p[:, None] - both, p[None, :] - both, 1 - p[:, None] - p[None, :] + both
+    out = 2 * (both * none + first * second)
+    out[np.diag_indices(len(p))] = 2 * p * (1 - p)
+    return out
+
+
 def within(differ: np.ndarray, t: int) -> float:
-    """Chance that at most t of the bits differ, each with its own chance."""
+    """Chance that at most t of a group's bits differ.
+
+    ``differ`` is the group's part of ``differences``. The number of differing bits gets the beta-binomial
+    distribution of the same mean and variance, so bits that go together make small numbers likelier.
+    """
     if t < 0:
         return 0.0
-    chance = np.zeros(t + 1)
-    chance[0] = 1.0
-    for d in differ:
-        chance[1:] = chance[1:] * (1 - d) + chance[:-1] * d
-        chance[0] *= 1 - d
-    return float(chance.sum())
+    m = len(differ)
+    if t >= m:
+        return 1.0
+    mean = float(np.trace(differ))
+    p = min(max(mean / m, 1e-9), 1 - 1e-9)
+    variance = float(differ.sum()) - mean * mean
+    lean = min((variance / (m * p * (1 - p)) - 1) / (m - 1), 0.999) if m > 1 else 0.0
+    if lean < 1e-6:
+        return float(sum(math.comb(m, k) * p**k * (1 - p) ** (m - k) for k in range(t + 1)))
+    a, b = p * (1 - lean) / lean, (1 - p) * (1 - lean) / lean
+
+    def log_beta(x: float, y: float) -> float:
+        return math.lgamma(x) + math.lgamma(y) - math.lgamma(x + y)
+
+    return min(1.0, sum(math.comb(m, k) * math.exp(log_beta(k + a, m - k + b) - log_beta(a, b)) for k in range(t + 1)))
 
 
 @dataclass(frozen=True)
@@ -142,12 +167,11 @@ class Plan:
 
 def allocate(n: int, counts: np.ndarray, radius: int) -> Plan:
     """The cheapest partitions and thresholds, by dynamic programming over partitions and spent radius."""
-    p = np.diag(counts) / max(1, n)
-    differ = 2 * p * (1 - p)
+    differ = differences(n, counts)
     best = None
     for parts in range(1, radius + 2):
         groups = group_bits(n, counts, parts)
-        costs = [[0.0, *(math.comb(len(g), t) * n * PROBE_COST + n * n / 2 * within(differ[g], t) for t in range(radius + 1))] for g in groups]
+        costs = [[0.0, *(math.comb(len(g), t) * (n * PROBE_COST + MASK_COST) + n * n / 2 * within(differ[np.ix_(g, g)], t) for t in range(radius + 1))] for g in groups]
         table: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
         for c in costs:
             step: dict[int, tuple[float, list[int]]] = {}
@@ -230,6 +254,8 @@ def _verify(radius: int):
 def links(distinct: DataFrame, radius: int) -> DataFrame:
     """Links ``u``, ``v`` that connect all fingerprints of ``distinct`` (column ``fp``) as all links within ``radius`` do."""
     n, counts = bit_counts(distinct)
+    if n < 2:
+        return distinct.select(F.col("fp").alias("u"), F.col("fp").alias("v")).limit(0)
     masks = [m - (1 << 64) if m >= 1 << 63 else m for m in allocate(n, counts, radius).masks()]
     probes = distinct.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("probe", "key"))
     sizes = probes.groupBy("probe", "key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > CELL)
@@ -250,11 +276,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     ``component_id`` is the smallest identifier that links reach, the row's own included; null
     identifiers have no part in that, and it is null where a component has no other. A null
     or blank text has fingerprint zero and links like others. Repeated rows are rows of their own.
+    An empty table gives an empty table. Other columns don't matter. A text of any length is read whole.
     """
     all_fp = settle(fingerprints(df, id_col, text_col, words_a_shingle), "fingerprints")
     distinct = settle(all_fp.groupBy("fp").agg(F.min("_id").alias("least")), "distinct_fingerprints")
     stars = components(links(distinct, radius))
-    rooted = distinct.join(stars, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    of_root = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    found = rooted.join(of_root, "root").select("fp", "component_id")
-    return all_fp.join(found, "fp").select(F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    rooted = settle(distinct.join(stars, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "rooted")
+    found = join_by_key(rooted.select("fp", "root"), rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
+    return join_by_key(all_fp, settle(found, "found"), "fp").select(F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -63,6 +63,28 @@ def test_groups(spark, seed):
 
 def test_empty(spark):
     assert s.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    one = s.near_duplicates(spark.createDataFrame([(4, "a b", 1, 2)], "doc_id long, text string, fp int, root int")).collect()
+    assert [r["component_id"] for r in one] == [4]
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 50])
+def test_small_plans(n):
+    """However few fingerprints there are, a plan has few probes."""
+    assert len(s.allocate(n, np.eye(64) * n / 2, 4).masks()) <= 100
+
+
+def test_estimates():
+    """Chances of few differing bits, for free bits and for bits that go together, against draws."""
+    rng = np.random.default_rng(2)
+    for share in (0.0, 0.7):
+        bits = rng.integers(0, 2, (3000, 16))
+        common = rng.integers(0, 2, (3000, 1))
+        bits = np.where(rng.random(bits.shape) < share, common, bits)
+        differ = s.differences(len(bits), bits.T @ bits)
+        d = (bits[:1500] != bits[1500:]).sum(axis=1)
+        for t in (1, 2, 4, 6):
+            assert abs(s.within(differ, t) - (d <= t).mean()) < 0.08
+        assert s.within(differ, -1) == 0 and s.within(differ, 16) == 1
 
 
 def test_large_buckets(spark, monkeypatch):

@@ -61,6 +61,21 @@ def test_small_payloads_and_many_copies(spark):
     assert got == brute(rows, 5)
 
 
+def test_names_and_null_urls(spark):
+    """One response a payload, whatever the URLs; every record has a name of its own; nothing stays in the catalog."""
+    rows = [(8, None, "z", "a"), (8, "", "z", "b"), (7, "u", "p", "c"), (7, "u", "q", "d"), (7, "v", "q", "d"), (7, "v", "q", "d")] + [(i, "h", "hot", None) for i in range(400)]
+    path = archive(spark, rows)
+    out = read_archive(spark, path).collect()
+    assert len(out) == len(rows)
+    by_payload = {}
+    for r in out:
+        by_payload.setdefault(r["payload_digest"], []).append(r["record_type"])
+    assert all(kinds.count("response") == 1 for kinds in by_payload.values()) and len(by_payload) == 4
+    names = [h.split(b"WARC-Record-ID: ")[1].split(b"\r\n")[0] for h in (bytes(r["header"]) for r in original_records(spark, path).collect())]
+    assert len(set(names)) == len(rows)
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("payloads_")]
+
+
 def test_empty(spark):
     path = archive(spark, [])
     assert read_archive(spark, path).count() == 0
