@@ -2,10 +2,11 @@
 
 Two logistic classifiers see different views of a document: its text, and its page metadata
 (source, language, stated length). Each is fitted on labelled rows; then, for some rounds,
-each labels the unlabelled rows it is surest of for the other one. Both are calibrated on
-labelled rows that neither was fitted on, and their calibrated log-odds are added as those
-of two views that are independent given the class. The fit uses bounded samples (``most_labelled``
-and ``most_unlabelled`` rows, those of smallest hashed identifier); scores are for all rows.
+each scores all rows that the labelled sample doesn't hold and labels those it is surest of for the
+other one. Both are calibrated on labelled rows that neither was fitted on, and their calibrated
+log-odds are added as those of two views that are independent given the class. What reaches a fit is
+bounded: ``most_labelled`` labelled rows (of the smallest hashed identifiers), and ``most_taught``
+rows a round, class and view. Features are made once and settled; every round is a pass over them.
 """
 
 from __future__ import annotations
@@ -16,10 +17,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import smallest_hashed
+from .common import settle, smallest_hashed
 
 TEXT_BUCKETS = 512
 META_BUCKETS = 128
@@ -125,8 +126,37 @@ class CoTrained:
         return a, b, a + b - self.prior
 
 
-def co_train(t: np.ndarray, m: np.ndarray, y: np.ndarray, ut: np.ndarray, um: np.ndarray, rounds: int = 4, share: float = 0.05, sure: float = 0.95, keep_good: float = 0.995) -> CoTrained:
-    """Fit both views on labelled rows (t, m, y) and unlabelled rows (ut, um).
+class Pool:
+    """Unlabelled rows as two matrices; what ``co_train`` asks of a pool."""
+
+    def __init__(self, t: np.ndarray, m: np.ndarray):
+        self.t, self.m = t, m
+        self.taken = {"text": set(), "meta": set()}
+
+    def surest(self, text: Logistic, meta: Logistic, most: int, sure: float) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+        """For each view the rows that the other one is surest of, and their classes; no row is taught twice to a view."""
+        out = {}
+        for teacher, x, pupil, own in ((text, self.t, "meta", self.m), (meta, self.m, "text", self.t)):
+            at, good = surest_rows(teacher.log_odds(x), np.array(sorted(self.taken[pupil]), np.int64), np.arange(len(x)), most, sure)
+            self.taken[pupil].update(at.tolist())
+            out[pupil] = own[at], good
+        return out
+
+
+def surest_rows(log_odds: np.ndarray, taken: np.ndarray, number: np.ndarray, most: int, sure: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the ``most`` surest rows of each class that are sure enough and not taken, and the classes; of equals the smallest numbers."""
+    places, classes = [], []
+    for good in (1.0, 0.0):
+        p = 1 / (1 + np.exp(-np.clip(log_odds if good else -log_odds, -30, 30)))
+        free = np.flatnonzero((p >= sure) & ~np.isin(number, taken))
+        best = free[np.lexsort((number[free], -p[free]))[:most]]
+        places.append(best)
+        classes.append(np.full(len(best), good))
+    return np.concatenate(places), np.concatenate(classes)
+
+
+def co_train(t: np.ndarray, m: np.ndarray, y: np.ndarray, pool: Pool | None, rounds: int = 4, most_taught: int = 400, sure: float = 0.95, keep_good: float = 0.995) -> CoTrained:
+    """Fit both views on labelled rows (t, m, y) and a pool of unlabelled rows.
 
     Every fourth labelled row is kept for calibration, and for the threshold: the log-odds above
     which ``keep_good`` of its good rows are, but never above even odds. With no labelled rows,
@@ -136,27 +166,15 @@ def co_train(t: np.ndarray, m: np.ndarray, y: np.ndarray, ut: np.ndarray, um: np
     if len(y) < 8 or len(set(y.tolist())) < 2:
         return CoTrained(None, None, prior, -np.inf)
     aside = np.arange(len(y)) % 4 == 3
-    fit = ~aside
-    labels = {"text": np.full(len(ut), np.nan), "meta": np.full(len(ut), np.nan)}  # what each view is taught by the other
-
-    def view(x: np.ndarray, ux: np.ndarray, taught: np.ndarray) -> Logistic:
-        use = ~np.isnan(taught)
-        return Logistic.fit(np.concatenate([x[fit], ux[use]]), np.concatenate([y[fit], taught[use]]))
-
+    rows = {"text": [(t[~aside], y[~aside])], "meta": [(m[~aside], y[~aside])]}
     for r in range(rounds + 1):
-        text, meta = view(t, ut, labels["text"]), view(m, um, labels["meta"])
+        text, meta = (Logistic.fit(*(np.concatenate(x) for x in zip(*rows[k], strict=True))) for k in ("text", "meta"))
         text.calibrate(t[aside], y[aside])
         meta.calibrate(m[aside], y[aside])
-        if r == rounds or not len(ut):
+        if r == rounds or pool is None:
             break
-        for teacher, x, pupil in ((text, ut, "meta"), (meta, um, "text")):
-            p = 1 / (1 + np.exp(-teacher.log_odds(x)))
-            new = np.flatnonzero(np.isnan(labels[pupil]))
-            most = max(1, int(share * len(ut)))
-            for good in (True, False):  # the surest of each class, only where the teacher is sure
-                q = p[new] if good else 1 - p[new]
-                best = new[np.argsort(-q, kind="stable")[:most]]
-                labels[pupil][best[(p[best] if good else 1 - p[best]) >= sure]] = float(good)
+        for pupil, new in pool.surest(text, meta, most_taught, sure).items():
+            rows[pupil].append(new)
     model = CoTrained(text, meta, prior, 0.0)
     good = model.log_odds(t[aside], m[aside])[2][y[aside] == 1]
     model.threshold = float(min(0.0, np.quantile(good, 1 - keep_good))) if len(good) else 0.0
@@ -166,10 +184,20 @@ def co_train(t: np.ndarray, m: np.ndarray, y: np.ndarray, ut: np.ndarray, um: np
 VIEW = ["source", "lang", "n_chars"]
 
 
-def _view_columns(df: DataFrame, text_col: str) -> DataFrame:
-    """Text and metadata columns; metadata that the table hasn't are null."""
+def _free_names(df: DataFrame, names: list[str]) -> list[str]:
+    """The names, each with as many underscores ahead as make it differ from all columns."""
+    have, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n in have:
+            n = "_" + n
+        out.append(n)
+    return out
+
+
+def _view(df: DataFrame, text_col: str) -> list[Column]:
+    """Text and metadata; metadata that the table hasn't are null."""
     have = set(df.columns)
-    return df.withColumns({"_t": F.col(text_col), **{f"_{c}": (F.col(c) if c in have else F.lit(None)).cast("long" if c == "n_chars" else "string") for c in VIEW}})
+    return [df[text_col].cast("string"), *((df[c] if c in have else F.lit(None)).cast("long" if c == "n_chars" else "string") for c in VIEW)]
 
 
 def _matrix(texts: list[str | None], sources: list, langs: list, sizes: list) -> tuple[np.ndarray, np.ndarray]:
@@ -177,56 +205,103 @@ def _matrix(texts: list[str | None], sources: list, langs: list, sizes: list) ->
     return t, meta_matrix([meta_features(*x) for x in zip(sources, langs, sizes, strict=True)])
 
 
-def sample_views(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, most_labelled: int, most_unlabelled: int) -> tuple[np.ndarray, ...]:
-    """Both views of the samples, as t, m, y, ut, um. Features are made where the texts are."""
-    agreed = (
-        labels.filter(F.col("quality").isin(0, 1) & F.col(id_col).isNotNull())
-        .groupBy(F.col(id_col).alias("_id")).agg(F.min("quality").alias("_y"), F.max("quality").alias("_y2")).filter("_y = _y2").drop("_y2")
-    )
-    chosen = smallest_hashed(agreed, "_id", most_labelled)
-    ids = docs.select(F.col(id_col).alias("_id")).filter("_id is not null").distinct()
-    free = smallest_hashed(ids.join(agreed.select("_id"), "_id", "left_anti"), "_id", most_unlabelled).withColumn("_y", F.lit(-1))
-    picked = F.broadcast(chosen.select("_id", F.col("_y").cast("int")).unionByName(free))
-    mine = _view_columns(docs, text_col).withColumn("_id", F.col(id_col)).select("_id", "_t", *[f"_{c}" for c in VIEW]).join(picked, "_id")
+def _unpacked(t: list[bytes], m: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    x = np.frombuffer(b"".join(t), "<f2").reshape(-1, TEXT_BUCKETS + STATS).astype(np.float32)
+    return x, meta_matrix(m)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            t, _ = _matrix(batch.column("_t").to_pylist(), [], [], [])
-            meta = [meta_features(*x) for x in zip(*(batch.column(f"_{c}").to_pylist() for c in VIEW), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("_id").cast(pa.string()), batch.column("_y"), pa.array([r.astype("<f2").tobytes() for r in t], pa.binary()), pa.array(meta, pa.list_(pa.int32()))], names=["id", "y", "t", "m"])
 
-    rows = sorted(mine.mapInArrow(run, "id string, y int, t binary, m array<int>").collect(), key=lambda r: (zlib.crc32(r["id"].encode()), r["id"], r["t"]))
-    t = np.stack([np.frombuffer(r["t"], "<f2") for r in rows]).astype(np.float32) if rows else np.zeros((0, TEXT_BUCKETS + STATS), np.float32)
-    m, y = meta_matrix([r["m"] for r in rows]), np.array([r["y"] for r in rows], float)
-    known = y >= 0
-    return t[known], m[known], y[known], t[~known], m[~known]
+def settled_views(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``id``, ``t`` (text features as half-precision numbers), ``m`` (metadata buckets) and ``no`` (a number of its own) of every row."""
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                batch = whole.slice(at, 512)
+                t = [text_features(x or "").astype("<f2").tobytes() for x in batch.column(1).to_pylist()]
+                m = [meta_features(*x) for x in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(t, pa.binary()), pa.array(m, pa.list_(pa.int32()))], names=["id", "t", "m"])
+
+    seen = docs.select(docs[id_col].alias("id"), *[c.alias(n) for c, n in zip(_view(docs, text_col), ["text", *VIEW], strict=True)])
+    return settle(seen.mapInArrow(run, f"id {kind}, t binary, m array<int>").withColumn("no", F.monotonically_increasing_id()), "views")
+
+
+def labelled_views(views: DataFrame, chosen: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Both views and the class of the chosen identifiers (``id``, ``y``), one row each however often one occurs."""
+    rows = views.join(F.broadcast(chosen), "id").groupBy(F.col("id").cast("string").alias("id")).agg(F.min(F.struct("no", "t", "m", "y")).alias("r")).select("id", "r.t", "r.m", "r.y").collect()
+    rows.sort(key=lambda r: (zlib.crc32(r["id"].encode()), r["id"]))
+    return *_unpacked([r["t"] for r in rows], [r["m"] for r in rows]), np.array([r["y"] for r in rows], float)
+
+
+class TablePool:
+    """All rows of a table of views as a pool: each task hands on its surest rows, and the surest of all of them are taken."""
+
+    def __init__(self, views: DataFrame):
+        self.views = views
+        self.taken = {"text": np.zeros(0, np.int64), "meta": np.zeros(0, np.int64)}
+
+    def surest(self, text: Logistic, meta: Logistic, most: int, sure: float) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+        shared = self.views.sparkSession.sparkContext.broadcast((text, meta, self.taken))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            text, meta, taken = shared.value
+            held: dict[tuple[str, bool], list[tuple]] = {}
+            for batch in batches:
+                no, m = batch.column("no").to_numpy(), batch.column("m").to_pylist()
+                t, x = _unpacked(batch.column("t").to_pylist(), m)
+                for pupil, odds in (("meta", text.log_odds(t)), ("text", meta.log_odds(x))):
+                    at, good = surest_rows(odds, taken[pupil], no, most, sure)
+                    for i, g in zip(at.tolist(), good.tolist(), strict=True):
+                        held.setdefault((pupil, g), []).append((-abs(float(odds[i])), int(no[i]), t[i].astype("<f2").tobytes(), m[i]))
+                for k in held:
+                    held[k] = sorted(held[k], key=lambda r: r[:2])[:most]
+            rows = [(*k, *r) for k, rs in held.items() for r in rs]
+            names, types = ["pupil", "good", "order", "no", "t", "m"], [pa.string(), pa.float64(), pa.float64(), pa.int64(), pa.binary(), pa.list_(pa.int32())]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(types)], names=names)
+
+        found = settle(self.views.select("no", "t", "m").mapInArrow(run, "pupil string, good double, `order` double, no long, t binary, m array<int>"), "surest")
+        out = {}
+        for pupil in ("meta", "text"):
+            rows = [r for good in (1.0, 0.0) for r in found.filter((F.col("pupil") == pupil) & (F.col("good") == good)).orderBy("order", "no").limit(most).collect()]
+            t, m = _unpacked([r["t"] for r in rows], [r["m"] for r in rows])
+            self.taken[pupil] = np.append(self.taken[pupil], [r["no"] for r in rows]).astype(np.int64)
+            out[pupil] = (t if pupil == "text" else m), np.array([r["good"] for r in rows], float)
+        return out
 
 
 SCORES = "text_score double, meta_score double, score double, kept boolean"
 
 
-def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_labelled: int = 8_000, most_unlabelled: int = 8_000) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_labelled: int = 8_000, most_taught: int = 400) -> DataFrame:
     """``docs`` with ``text_score``, ``meta_score``, ``score`` (chances of good quality) and ``kept``.
 
-    Columns of these names are replaced. Documents with labels that disagree aren't fitted on. A
-    null text counts as empty, null metadata as a value of its own; repeated rows get equal scores.
+    Columns of these names are replaced; any other column is carried. Documents with labels that
+    disagree aren't fitted on. A null text counts as empty, null metadata as a value of its own; repeated
+    rows get equal scores. An empty table gives an empty table. A text of any length is read whole.
     """
-    model = co_train(*sample_views(docs, labels, id_col, text_col, most_labelled, most_unlabelled))
+    agreed = (
+        labels.filter(F.col("quality").isin(0, 1) & F.col(id_col).isNotNull())
+        .groupBy(F.col(id_col).alias("id")).agg(F.min("quality").alias("y"), F.max("quality").alias("y2")).filter("y = y2").select("id", F.col("y").cast("int").alias("y"))
+    )
+    views = settled_views(docs, id_col, text_col)
+    chosen = settle(smallest_hashed(agreed.join(views.select("id").distinct(), "id", "left_semi"), "id", most_labelled), "chosen")
+    pool = views.join(F.broadcast(chosen.select("id")), "id", "left_anti")
+    model = co_train(*labelled_views(views, chosen), TablePool(pool), most_taught=most_taught)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = [x.split()[0] for x in SCORES.split(", ")]
     base = docs.drop(*names)
-    viewed = _view_columns(base, text_col)
+    columns = base.columns
+    viewed = base.select(*[base[c] for c in columns], *[c.alias(n) for c, n in zip(_view(base, text_col), _free_names(base, ["view_t", "view_s", "view_l", "view_n"]), strict=True)])
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema) + ", " + SCORES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, n = shared.value, len(base_columns)
+        model, n = shared.value, len(columns)
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
                 t, m = _matrix(*(batch.column(n + i).to_pylist() for i in range(4)))
                 odds = [np.clip(x, -30, 30) for x in model.log_odds(t, m)]
                 chance = [pa.array(1 / (1 + np.exp(-x))) for x in odds]
-                yield pa.RecordBatch.from_arrays([*batch.columns[:n], *chance, pa.array(odds[2] >= model.threshold)], names=[*base_columns, *names])
+                yield pa.RecordBatch.from_arrays([*batch.columns[:n], *chance, pa.array(odds[2] >= model.threshold)], names=[*columns, *names])
 
-    base_columns = base.columns
     return viewed.mapInArrow(run, schema)
