@@ -19,13 +19,14 @@ from ..sources import fcs, fcs_files, naming, slicing, spill, tables
 from . import oracles, sql_functions
 
 LINE = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
-VEC = [f"v{j}" for j in range(8)]
+#: All elements of the embeddings.
+VEC = [f"v{j}" for j in range(64)]
 SPILL = np.array([[1.0, 0.1, 0.02], [0.05, 1.0, 0.03], [0.01, 0.2, 1.0]])
 SPILLED = ["l_quantity", "l_discount", "l_tax"]
 #: A 5 x 5 map over scaled columns that many queries share.
 NOISE = np.round(np.random.default_rng(7).standard_normal((25, 4)), 6)
 MAP = som.Som(NOISE, 5, 5, g.rectangular(5, 5), tuple(LINE))
-VEC_MAP = som.Som(np.round(np.random.default_rng(11).standard_normal((25, 8)), 6), 5, 5, g.rectangular(5, 5), tuple(VEC))
+VEC_MAP = som.Som(np.round(np.random.default_rng(11).standard_normal((25, len(VEC))), 6), 5, 5, g.rectangular(5, 5), tuple(VEC))
 EXP5 = g.exp_radius(-5.0)
 
 
@@ -50,7 +51,7 @@ def vectors(spark, d) -> DataFrame:
     return df.select("vec_id", "label", *[F.get("embedding", F.lit(j)).cast("double").alias(c) for j, c in enumerate(VEC)])
 
 
-VECTORS = "SELECT vec_id, label, " + ", ".join(f"CAST(embedding[{j + 1}] AS DOUBLE) AS x{j}" for j in range(8)) + " FROM embeddings"
+VECTORS = "SELECT vec_id, label, " + ", ".join(f"CAST(embedding[{j + 1}] AS DOUBLE) AS x{j}" for j in range(len(VEC))) + " FROM embeddings"
 SCALED = oracles.z_scaled("lineitem", LINE)
 
 
@@ -105,8 +106,9 @@ def apply_cols(spark, d):
 
 
 def array_spread(spark, d):
-    df = prep.gather(prep.spread(table(spark, d, "embeddings").select("vec_id", F.slice("embedding", 1, 3).alias("e")), "e", ["a", "b", "c"]), ["a", "b"], "ab")
-    return df.select("vec_id", "c", (F.col("ab")[0] + F.col("ab")[1]).alias("ab"))
+    """Every element a column, then the first and last two an array again."""
+    df = prep.gather(prep.spread(table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("e")), "e", VEC), [*VEC[:2], *VEC[-2:]], "ends")
+    return df.select("vec_id", *VEC[2:-2], F.aggregate("ends", F.lit(0.0), lambda a, x: a + x).alias("ends"))
 
 
 def compensate_linear(spark, d):
@@ -201,7 +203,8 @@ def slice_sizes(spark, d):
 
 
 def part_sizes(spark, d):
-    return stats.part_sizes(spark.range(0, 1003, 1, 4)).select("part", "n")
+    """The whole table dealt over four parts by identifier."""
+    return stats.part_sizes(table(spark, d, "events").select("event_id").repartitionById(4, F.pmod("event_id", F.lit(4)).cast("int"))).select("part", "n")
 
 
 # ---------------------------------------------------------------- maps
@@ -271,7 +274,7 @@ def _map(metric="euclidean"):
 
 
 def _map_sql(metric="euclidean"):
-    return f"""SELECT vec_id, (min({{'d': {oracles.gap(8, metric)}, 'id': id}})).id AS "index" FROM ({VECTORS}) CROSS JOIN {oracles.codebook(VEC_MAP.codes, VEC_MAP.grid)} GROUP BY vec_id"""
+    return f"""SELECT vec_id, (min({{'d': {oracles.gap(len(VEC), metric)}, 'id': id}})).id AS "index" FROM ({VECTORS}) CROSS JOIN {oracles.codebook(VEC_MAP.codes, VEC_MAP.grid)} GROUP BY vec_id"""
 
 
 def map_by_expressions(spark, d):
@@ -297,7 +300,7 @@ def knn_codes(spark, d):
 KNN_SQL = f"""
 SELECT vec_id, CAST(r AS INTEGER) AS rank, id, round(d, 6) + 0.0 AS distance FROM (
   SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, id) AS r FROM (
-    SELECT vec_id, id, {oracles.gap(8)} AS d FROM ({VECTORS}) CROSS JOIN {oracles.codebook(VEC_MAP.codes, VEC_MAP.grid)})) WHERE r <= 4
+    SELECT vec_id, id, {oracles.gap(len(VEC))} AS d FROM ({VECTORS}) CROSS JOIN {oracles.codebook(VEC_MAP.codes, VEC_MAP.grid)})) WHERE r <= 4
 """
 
 
@@ -346,7 +349,7 @@ def fcs_scan(spark, d):
 
 FCS_SQL = """
 SELECT event_id, CAST(CAST(value AS FLOAT) AS DOUBLE) AS CD3_x, CAST(CASE WHEN r <= 700 THEN 1 WHEN r <= 1900 THEN 2 ELSE 3 END AS INTEGER) AS file_idx
-FROM (SELECT event_id, value, row_number() OVER (ORDER BY event_id) AS r FROM events) WHERE r <= 3000
+FROM (SELECT event_id, value, row_number() OVER (ORDER BY event_id) AS r FROM events)
 """
 
 
@@ -356,7 +359,7 @@ def fcs_slices(spark, d):
     return stats.part_sizes(df).select(F.col("part"), "n")
 
 
-FCS_SLICES_SQL = "SELECT CAST(s AS INTEGER) AS part, n // 4 + CASE WHEN s < n % 4 THEN 1 ELSE 0 END AS n FROM (SELECT least(3000, count(*)) AS n FROM events), range(4) t(s)"
+FCS_SLICES_SQL = "SELECT CAST(s AS INTEGER) AS part, n // 4 + CASE WHEN s < n % 4 THEN 1 ELSE 0 END AS n FROM (SELECT count(*) AS n FROM events), range(4) t(s)"
 
 
 def fcs_channels(spark, d):
@@ -377,7 +380,7 @@ def csv_set_scan(spark, d):
     return tables.read_csv_set(spark, paths, file_idx=True)
 
 
-CSV_SQL = "SELECT CAST(p_partkey AS DOUBLE) AS x1, p_retailprice AS x2, CAST(CASE WHEN p_partkey <= 50 THEN 1 WHEN p_partkey <= 120 THEN 2 ELSE 3 END AS INTEGER) AS file_idx FROM part WHERE p_partkey > 0"
+CSV_SQL = "SELECT CAST(p_partkey AS DOUBLE) AS x1, p_retailprice AS x2, CAST(CASE WHEN p_partkey <= 50 THEN 1 WHEN p_partkey <= 120 THEN 2 ELSE 3 END AS INTEGER) AS file_idx FROM part"
 
 
 def stat_sql(cols, digits):
@@ -409,7 +412,7 @@ CATALOGUE: dict[str, tuple] = {
     "zscale": (zscale, "SELECT " + ", ".join(f"round(x{j}, 5) + 0.0 AS {c}" for j, c in enumerate(LINE)) + f" FROM ({SCALED})"),
     "asinh_zscale": (asinh_zscale, f"SELECT event_id, round(x0, 5) + 0.0 AS value FROM ({oracles.z_scaled('(SELECT event_id, asinh(value / 5) AS value FROM events)', ['value'], 'event_id, ')})"),
     "apply_cols": (apply_cols, "SELECT p_partkey, p_size * 2 AS p_size, round(p_retailprice * 3, 3) + 0.0 AS p_retailprice FROM part"),
-    "array_spread_gather": (array_spread, "SELECT vec_id, CAST(embedding[3] AS DOUBLE) AS c, CAST(embedding[1] AS DOUBLE) + CAST(embedding[2] AS DOUBLE) AS ab FROM embeddings"),
+    "array_spread_gather": (array_spread, "SELECT vec_id, " + ", ".join(f"CAST(embedding[{j + 1}] AS DOUBLE) AS v{j}" for j in range(2, 62)) + ", 0.0::DOUBLE + embedding[1]::DOUBLE + embedding[2]::DOUBLE + embedding[63]::DOUBLE + embedding[64]::DOUBLE AS ends FROM embeddings"),
     "compensate_linear": (compensate_linear, COMPENSATE_SQL),
     "dstat": (dstat, f"SELECT {stat_sql(LINE, 4)} FROM lineitem"),
     "dstat_buckets": (dstat_buckets, f"SELECT l_returnflag, {stat_sql(LINE, 4)} FROM lineitem GROUP BY l_returnflag"),
@@ -424,7 +427,7 @@ CATALOGUE: dict[str, tuple] = {
     "dcount_buckets": (dcount_buckets, "SELECT CAST(b AS INTEGER) AS bucket, CAST(i AS INTEGER) AS id, count(label) AS n FROM range(1, 6) s(b) CROSS JOIN range(1, 12) t(i) LEFT JOIN embeddings ON label + 1 = i AND vec_id % 4 + 1 = b GROUP BY b, i"),
     "file_counts": (file_counts, "SELECT CAST(row_number() OVER (ORDER BY event_type) AS INTEGER) AS file_idx, count(*) AS n FROM events GROUP BY event_type"),
     "slice_sizes": (slice_sizes, "SELECT CAST(s AS INTEGER) AS slice, n // 7 + CASE WHEN s <= n % 7 THEN 1 ELSE 0 END AS n FROM (SELECT count(*) AS n FROM events), range(1, 8) t(s)"),
-    "part_sizes": (part_sizes, "SELECT * FROM (VALUES (0, 250::BIGINT), (1, 251::BIGINT), (2, 251::BIGINT), (3, 251::BIGINT)) t(part, n)"),
+    "part_sizes": (part_sizes, "SELECT CAST(event_id % 4 AS INTEGER) AS part, count(*) AS n FROM events GROUP BY 1"),
     "som_grid": (som_grid, "SELECT CAST(i + 1 AS INTEGER) AS id, CAST(i % 4 AS DOUBLE) AS gx, CAST(i // 4 AS DOUBLE) AS gy FROM range(12) t(i)"),
     "grid_dist_chebyshev": (lambda spark, d: _pairs(spark, "chebyshev"), _pairs_sql("greatest(abs(a.gx - b.gx), abs(a.gy - b.gy))")),
     "grid_dist_euclidean": (lambda spark, d: _pairs(spark, "euclidean"), _pairs_sql("sqrt((a.gx - b.gx) * (a.gx - b.gx) + (a.gy - b.gy) * (a.gy - b.gy))")),
