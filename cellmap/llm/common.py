@@ -101,16 +101,25 @@ def blocks(texts: pa.Array, most_bytes: int) -> Iterator[tuple[int, int]]:
         at = end
 
 
+#: Tables of slim rows up to this size are joined plainly: even as one key they are a small task.
+FEW = 65_536
+
+
 def join_by_key(rows: DataFrame, facts: DataFrame, key: str, total: int | None = None, counted: DataFrame | None = None, salt: list[str] | None = None) -> DataFrame:
     """Inner join of ``rows`` with ``facts``, which has each key once, however many rows share a key.
 
     Keys with more than a fair share of the rows (at most four a shuffle partition) get pieces: their
     rows are dealt over the pieces by a hash (of the columns ``salt``, or all), and their fact goes to each.
-    Only those keys are broadcast. ``total`` is the number of rows, if known; ``counted`` a cheaper table of the same keys.
+    Only those keys are broadcast. ``total`` is the number of rows, if known; ``counted`` a cheaper table of the
+    same keys, or one that has their numbers as ``n``.
     """
     of = rows if counted is None else counted
-    share = max(64, (of.count() if total is None else total) // (4 * n_partitions(rows.sparkSession)))
-    hot = of.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > share).select(key, F.ceil(F.col("_n") / share).cast("int").alias("_pieces"))
+    total = of.count() if total is None else total
+    if total <= FEW:
+        return rows.join(facts, key)
+    share = total // (4 * n_partitions(rows.sparkSession)) + 1
+    numbers = of.select(key, F.col("n").alias("_n")) if counted is not None and "n" in counted.columns else of.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    hot = numbers.filter(F.col("_n") > share).select(key, F.ceil(F.col("_n") / share).cast("int").alias("_pieces"))
     pieces = F.coalesce("_pieces", F.lit(1))
     left = rows.join(F.broadcast(hot), key, "left").withColumn("_salt", F.pmod(F.xxhash64(*(salt or rows.columns)), pieces).cast("int")).drop("_pieces")
     right = facts.join(F.broadcast(hot), key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), pieces - 1))).drop("_pieces")
