@@ -52,6 +52,18 @@ def settle(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the files of a settled table that nothing reads any more, and let the driver forget finished shuffles.
+
+    Only tables of which all that is left has been settled anew may go.
+    """
+    spark = df.sparkSession
+    if files := df.inputFiles():
+        folder = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    spark._jvm.System.gc()
+
+
 def n_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
