@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 import xxhash
 
+from cellmap.llm import components as star_components
 from cellmap.llm import simhash as s
 from cellmap.llm.components import components
 
@@ -127,7 +128,9 @@ def test_allocation_loses_nothing(n):
         assert any(a & m == b & m for m in masks)
 
 
-def test_components(spark):
+@pytest.mark.parametrize("part", [20, 500_000])
+def test_components(spark, monkeypatch, part):
+    monkeypatch.setattr(star_components, "PART", part)
     rng = random.Random(5)
     edges = [(i, i + 1) for i in range(-5, 60)] + [(200 + rng.randrange(80), 200 + rng.randrange(80)) for _ in range(60)] + [(7, 7), (999, 1000), (1000, 999)]
     found = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
