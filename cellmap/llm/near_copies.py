@@ -1,4 +1,9 @@
-"""Near copies by the exact Jaccard similarity of whole texts' word shingles.
+"""Near copies by SimHash fingerprints, decided by the exact Jaccard similarity of whole texts' word shingles.
+
+Fingerprints within a radius are found by ``simhash``'s partitions, thresholds, probes and verification; the texts of
+what they link are then compared whole. A similarity of 0.8 moves up to 13 and more of 64 bits, so the radius is the widest
+up to ``RADIUS`` that a plan carries at ``PLAN_COST`` a fingerprint, which gets smaller as the table grows. Rows of one component
+are settled by that. An exact way finds the links beyond the radius among rows that are still apart:
 
 Two sets with a similarity of 0.8 or more share one of their first n - ceil(0.8 n) + 1 members in
 any common order (n: the members of either), so rows that share none of these are never compared
@@ -19,8 +24,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from .common import discard, join_by_key, settle
-from .components import components
+from .components import PART, components
 
 SHINGLE = 5
 #: Least similarity, as a fraction.
@@ -35,6 +41,9 @@ CELL = 512
 MOST_SENT = 1_000_000
 #: Numbers of shingles by hash: two sets differ in at least as many members as their sketches do.
 SKETCH = 128
+#: Least and widest radius of fingerprints, and most that a plan may cost a fingerprint, in ``simhash``'s units.
+RADIUS = (4, 13)
+PLAN_COST = 4_000.0
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -151,6 +160,46 @@ def _similar(rows: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
     return _attach(pairs, sets, "items").filter((OVER + UNDER) * both >= OVER * (F.size("of_u") + F.size("of_v"))).select("u", "v")
 
 
+def _nearest_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of the links between fingerprints of one part those of a spanning forest, links of few differing bits before others."""
+    held = [np.stack([c.to_numpy() for c in b.columns]) for b in batches]
+    if not sum(x.shape[1] for x in held):
+        return
+    fp = np.concatenate(held, axis=1)
+    fp = fp[:, np.argsort(np.bitwise_count((fp[0] ^ fp[1]).view(np.uint64)), kind="stable")]
+    nodes, at = np.unique(fp, return_inverse=True)
+    root, taken = list(range(len(nodes))), np.zeros(fp.shape[1], bool)
+    for i, (x, y) in enumerate(zip(*at.reshape(2, -1).tolist(), strict=True)):
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        while root[y] != y:
+            root[y] = y = root[root[y]]
+        if x != y:
+            root[max(x, y)] = min(x, y)
+            taken[i] = True
+    yield pa.RecordBatch.from_arrays([pa.array(x[taken]) for x in fp], names=["u", "v"])
+
+
+def fingerprint_links(rows: DataFrame) -> DataFrame:
+    """Links ``u``, ``v`` of rows (``row``, ``text``) whose fingerprints the probes link and whose whole sets are similar enough.
+
+    Rows of equal fingerprints are compared with the least of them, and those with each other along a spanning forest
+    of the links within the radius.
+    """
+    fp = settle(simhash.fingerprints(rows, "row", "text", SHINGLE), "fingerprints")
+    distinct = settle(fp.groupBy("fp").agg(F.min("_id").alias("least")), "distinct_fingerprints")
+    pairs = join_by_key(fp, distinct, "fp").filter("_id <> least").select(F.col("least").alias("u"), F.col("_id").alias("v"))
+    n, counts = simhash.bit_counts(distinct)
+    if n > 1:
+        radius, plan = simhash.widest(n, counts, *RADIUS, PLAN_COST)
+        links = settle(simhash.probed(distinct, radius, plan).distinct(), "fingerprint_links")
+        forest = links.coalesce(-(-links.count() // PART) or 1).mapInArrow(_nearest_forest, "u long, v long")
+        u, v = (distinct.select(F.col("fp").alias(c), F.col("least").alias(f"least_{c}")) for c in "uv")
+        near = join_by_key(join_by_key(settle(forest, "fingerprint_forest"), u, "u"), v, "v")
+        pairs = pairs.unionByName(near.select(F.least("least_u", "least_v").alias("u"), F.greatest("least_u", "least_v").alias("v")))
+    return _similar(rows, settle(pairs, "fingerprint_pairs"), "fingerprints")
+
+
 def _may(n: Column, i: Column, m: Column, j: Column) -> Column:
     """Whether sizes and places let two rows be similar, were the shared shingle the first they share."""
     return (UNDER * F.least(n, m) >= OVER * F.greatest(n, m)) & ((OVER + UNDER) * F.least(n - i, m - j) >= OVER * (n + m))
@@ -238,10 +287,11 @@ def near_copies(df: DataFrame, row_col: str, text_col: str) -> DataFrame:
     """``node`` and ``root`` of every row that isn't the least of its component.
 
     ``row_col`` (long) differs in every row. Rows are linked if the sets of their texts' five-word shingles have a
-    Jaccard similarity of 0.8 or more; words are as in ``simhash``. Texts without words are equal, and so are null ones.
+    Jaccard similarity of 0.8 or more, whatever their fingerprints; words are as in ``simhash``. Texts without words are equal, and so are null ones.
     An empty table gives an empty table. Other columns don't matter. A text of any length is compared whole.
     """
     rows = df.select(F.col(row_col).alias("row"), F.col(text_col).alias("text"))
+    stars = components(fingerprint_links(rows))
     heads = settle(rows.mapInArrow(_heads(*_common(rows)), HEADS), "heads")
     sketches = settle(heads.filter("place = 0").select("row", "size", "sketch"), "sketches")
     slim = heads.drop("sketch")
@@ -250,16 +300,14 @@ def near_copies(df: DataFrame, row_col: str, text_col: str) -> DataFrame:
     discard(heads)
     whole, slim = slim, settle(_distinct_groups(slim), "distinct_groups")
     discard(whole)
-    groups, stars = slim.withColumn("root", F.col("row")), None
+    groups = _open(slim, stars, "open")
     for turn, order in enumerate((F.col("row"), F.xxhash64("row"))):
         one = groups.groupBy("key").agg(F.min(F.struct(order.alias("o"), "row", "size", "place", "root")).alias("p")).select("key", *[F.col(f"p.{c}").alias(f"p_{c}") for c in ("row", "size", "place", "root")])
         pairs = join_by_key(groups, one, "key").filter("root <> p_root").filter(_may(F.col("p_size"), F.col("p_place"), F.col("size"), F.col("place")))
         pairs = settle(pairs.select(F.col("p_row").alias("u"), F.col("row").alias("v"), F.col("p_size").alias("n"), F.col("size").alias("m")).distinct(), f"met_{turn}")
         both = _attach(pairs.select("u", "v", F.col("n").alias("size_u"), F.col("m").alias("size_v")), sketches, "sketch").select("u", "v", "size_u", "size_v", "of_u", "of_v")
         found = _similar(rows, settle(both.mapInArrow(_may_be_close, "u long, v long"), f"pairs_{turn}"), f"{turn}")
-        if stars is not None:
-            found = found.unionByName(stars.select(F.col("node").alias("u"), F.col("root").alias("v")))
-        stars = components(found)
+        stars = components(found.unionByName(stars.select(F.col("node").alias("u"), F.col("root").alias("v"))))
         groups = _open(slim, stars, f"open_{turn}")
         discard(pairs)
     cells = groups.withColumn("parts", F.ceil(F.col("n") / CELL).cast("int")).withColumn("part", F.pmod(F.xxhash64("row", F.lit(1)), F.col("parts")).cast("int"))

@@ -171,12 +171,12 @@ def allocate(n: int, counts: np.ndarray, radius: int) -> Plan:
     best = None
     for parts in range(1, radius + 2):
         groups = group_bits(n, counts, parts)
-        costs = [[0.0, *(math.comb(len(g), t) * (n * PROBE_COST + MASK_COST) + n * n / 2 * within(differ[np.ix_(g, g)], t) for t in range(radius + 1))] for g in groups]
+        costs = [[0.0, *(math.comb(len(g), t) * (n * PROBE_COST + MASK_COST) + n * n / 2 * within(differ[np.ix_(g, g)], t) for t in range(min(radius, len(g)) + 1))] for g in groups]
         table: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
         for c in costs:
             step: dict[int, tuple[float, list[int]]] = {}
             for spent, (cost, ts) in table.items():
-                for k in range(radius + 2 - spent):
+                for k in range(min(radius + 2 - spent, len(c))):
                     if spent + k not in step or cost + c[k] < step[spent + k][0]:
                         step[spent + k] = cost + c[k], [*ts, k - 1]
             table = step
@@ -186,6 +186,18 @@ def allocate(n: int, counts: np.ndarray, radius: int) -> Plan:
     return best
 
 
+def widest(n: int, counts: np.ndarray, least: int, most: int, cost: float) -> tuple[int, Plan]:
+    """The widest radius from ``least`` to ``most`` whose plan costs at most ``cost`` a fingerprint (``least`` if none does), and that plan.
+
+    Less than 1,000 fingerprints may cost what 1,000 do.
+    """
+    for radius in range(most, least - 1, -1):
+        plan = allocate(n, counts, radius)
+        if plan.cost <= cost * max(n, 1_000):
+            break
+    return radius, plan
+
+
 # ---------------------------------------------------------------- probe and verify
 
 
@@ -256,7 +268,12 @@ def links(distinct: DataFrame, radius: int) -> DataFrame:
     n, counts = bit_counts(distinct)
     if n < 2:
         return distinct.select(F.col("fp").alias("u"), F.col("fp").alias("v")).limit(0)
-    masks = [m - (1 << 64) if m >= 1 << 63 else m for m in allocate(n, counts, radius).masks()]
+    return probed(distinct, radius, allocate(n, counts, radius))
+
+
+def probed(distinct: DataFrame, radius: int, plan: Plan) -> DataFrame:
+    """As ``links``, by the partitions and thresholds of ``plan``."""
+    masks = [m - (1 << 64) if m >= 1 << 63 else m for m in plan.masks()]
     probes = distinct.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("probe", "key"))
     sizes = probes.groupBy("probe", "key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > CELL)
     sizes = settle(sizes.select("probe", "key", F.ceil(F.col("n") / CELL).cast("int").alias("parts")), "large_buckets")

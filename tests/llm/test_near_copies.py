@@ -8,6 +8,7 @@ import pytest
 import corpus_pipeline
 from cellmap.llm import common
 from cellmap.llm import near_copies as nc
+from cellmap.llm import simhash
 
 
 def brute(rows):
@@ -77,6 +78,54 @@ def test_drifting_copies(spark, monkeypatch, cell, few):
     assert 20 < len({*brute(texts)}) - 60 < 150
 
 
+def edited(seed, n, edits):
+    """Unlike texts, each followed by a copy with some words replaced."""
+    rng = random.Random(seed)
+    texts = []
+    for i in range(n):
+        t = [f"t{i}w{j}" for j in range(rng.randrange(40, 200))]
+        texts.append(" ".join(t))
+        for _ in range(rng.randint(*edits)):
+            t[rng.randrange(len(t))] = f"n{rng.randrange(10**9)}"
+        texts.append(" ".join(t))
+    return texts
+
+
+def test_fingerprints_link_first(spark):
+    """Of pairs that lie apart from all others, fingerprints link those within the radius whose whole texts are similar."""
+    texts = edited(2, 150, (0, 4))
+    rows = spark.createDataFrame(list(enumerate(texts)), "row long, text string").repartition(4)
+    found = {(r["u"], r["v"]) for r in nc.fingerprint_links(rows).collect()}
+    fp = [simhash.fingerprint(t, nc.SHINGLE) for t in texts]
+    n, counts = simhash.bit_counts(spark.createDataFrame([(x - (1 << 64) if x >> 63 else x,) for x in {*fp}], "fp long"))
+    radius, _ = simhash.widest(n, counts, *nc.RADIUS, nc.PLAN_COST)
+    roots = brute(texts)
+    similar = {(i, i + 1) for i in range(0, len(texts), 2) if roots[i + 1] == i}
+    assert radius > 4
+    assert found == {(i, j) for i, j in similar if (fp[i] ^ fp[j]).bit_count() <= radius}
+    assert any((fp[i] ^ fp[j]).bit_count() > 4 for i, j in found) and found < similar | {(-1, -1)}
+    assert len(similar) < len(texts) // 2
+
+
+def test_stage_compares_what_fingerprints_leave(spark, monkeypatch):
+    """Rows that fingerprints have linked are not looked for again; no fingerprint link is needed for a right result."""
+    texts, compared = edited(7, 40, (1, 1)), {}
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    roots, inner, links = brute(texts), nc._similar, nc.fingerprint_links
+
+    def similar(rows, pairs, name):
+        compared[name] = pairs.count()
+        return inner(rows, pairs, name)
+
+    monkeypatch.setattr(nc, "_similar", similar)
+    kept = {i for i, r in enumerate(roots) if i == r}
+    assert {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect()} == kept
+    assert compared.pop("fingerprints") >= len(texts) - len(kept) - 2 > 20
+    assert sum(compared.values()) <= 6
+    monkeypatch.setattr(nc, "fingerprint_links", lambda rows: links(rows).limit(0))
+    assert {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect()} == kept
+
+
 def test_sketches_never_rule_out_similar_sets():
     rng = np.random.default_rng(4)
     for _ in range(200):
