@@ -52,8 +52,13 @@ def settle(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget_shuffles(spark: SparkSession) -> None:
+    """Let the driver find out which shuffles nothing refers to any more; their files are deleted."""
+    spark._jvm.System.gc()
+
+
 def discard(df: DataFrame) -> None:
-    """Delete the files of a settled table that nothing reads any more, and let the driver forget finished shuffles.
+    """Delete the files of a settled table that nothing reads any more, and those of finished shuffles.
 
     Only tables of which all that is left has been settled anew may go.
     """
@@ -61,7 +66,7 @@ def discard(df: DataFrame) -> None:
     if files := df.inputFiles():
         folder = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
-    spark._jvm.System.gc()
+    forget_shuffles(spark)
 
 
 def n_partitions(spark: SparkSession) -> int:

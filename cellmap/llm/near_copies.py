@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import discard, join_by_key, settle
+from .common import discard, forget_shuffles, join_by_key, settle
 from .components import PART, components
 
 SHINGLE = 5
@@ -157,7 +157,9 @@ def _similar(rows: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
     few = of.count() <= MOST_SENT
     sets = settle(rows.join(F.broadcast(of) if few else of, "row", "left_semi").mapInArrow(_sets, "row long, items array<long>"), f"sets_{name}")
     both = F.size(F.array_intersect("of_u", "of_v"))
-    return _attach(pairs, sets, "items").filter((OVER + UNDER) * both >= OVER * (F.size("of_u") + F.size("of_v"))).select("u", "v")
+    found = settle(_attach(pairs, sets, "items").filter((OVER + UNDER) * both >= OVER * (F.size("of_u") + F.size("of_v"))).select("u", "v"), f"similar_{name}")
+    discard(sets)
+    return found
 
 
 def _nearest_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,10 +294,12 @@ def near_copies(df: DataFrame, row_col: str, text_col: str) -> DataFrame:
     """
     rows = df.select(F.col(row_col).alias("row"), F.col(text_col).alias("text"))
     stars = components(fingerprint_links(rows))
+    forget_shuffles(df.sparkSession)
     heads = settle(rows.mapInArrow(_heads(*_common(rows)), HEADS), "heads")
     sketches = settle(heads.filter("place = 0").select("row", "size", "sketch"), "sketches")
     slim = heads.drop("sketch")
     shared = settle(heads.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "shared_shingles")
+    forget_shuffles(df.sparkSession)
     slim = settle(join_by_key(slim, shared.select("key"), "key", counted=shared, total=heads.count()), "groups")
     discard(heads)
     whole, slim = slim, settle(_distinct_groups(slim), "distinct_groups")

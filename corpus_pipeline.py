@@ -40,10 +40,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows are decided one by one, so repeated identifiers don't matter. Null, empty and blank texts are copies of each other.
     An empty table gives an empty table, and columns of any name are carried.
     """
-    rows = settle(docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), docs["doc_id"].alias("id"), docs["text"].alias("text"), F.monotonically_increasing_id().alias("no")), "rows")
-    of = near_copies.near_copies(rows, "no", "text").withColumnRenamed("node", "no")
+    rows = settle(docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), F.monotonically_increasing_id().alias("no")), "rows")
+    of = near_copies.near_copies(rows.select("no", "doc.text"), "no", "text").withColumnRenamed("node", "no")
     members = of.unionByName(of.select(F.col("root").alias("no"), "root").distinct())
-    members = settle(members.join(rows.select("no", "id"), "no"), "members")
+    members = settle(members.join(rows.select("no", F.col("doc.doc_id").alias("id")), "no"), "members")
     best = members.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("a"), F.col("id").alias("b"), F.col("no").alias("c"))).alias("best"))
     gone = join_by_key(members, best.select("root", F.col("best.c").alias("stays")), "root").filter("no <> stays").select("no")
     return rows.join(gone, "no", "left_anti").select("doc.*")

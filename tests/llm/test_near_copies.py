@@ -1,5 +1,6 @@
 """Near copies against brute force over whole texts."""
 
+import os
 import random
 
 import numpy as np
@@ -139,6 +140,26 @@ def test_sketches_never_rule_out_similar_sets():
             assert len(i) == 1
 
 
+def test_disk(spark, monkeypatch):
+    """Each text is written once, and sets of shingles go as soon as they have been compared."""
+    rng, sizes, sets = random.Random(9), {}, []
+
+    def settle(df, name, codec="zstd"):
+        found = common.settle(df, name, codec)
+        files = [f.removeprefix("file:").replace("///", "/") for f in found.inputFiles()]
+        sizes[name] = sum(map(os.path.getsize, files))
+        sets.extend(files * name.startswith("sets_"))
+        return found
+
+    for m in (corpus_pipeline, nc):
+        monkeypatch.setattr(m, "settle", settle)
+    docs = spark.createDataFrame([(i, rng.randbytes(20_000).hex(" ", 4)) for i in range(40)], "doc_id long, text string")
+    settle(docs, "texts")
+    assert corpus_pipeline.near_dedup(spark, docs.unionByName(docs.limit(3)), "").count() == 40
+    assert sizes["rows"] < 1.3 * sizes["texts"]
+    assert sets and not any(map(os.path.exists, sets))
+
+
 def test_repeated_and_null_ids(spark):
     """Rows are decided one by one: an unrelated row stays whatever its identifier, and one row of each group stays."""
     text = " ".join(f"w{i}" for i in range(80))
