@@ -16,7 +16,7 @@ from __future__ import annotations
 import functools
 import os
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -37,10 +37,12 @@ GENERATIONS = 5
 LOOSE = 1 / 64
 #: Levels go on while one closes this share of its rows.
 CLOSED = 1 / 4
-#: Words that a worker keeps the ids of.
-MOST_WORDS = 800_000
+#: Bytes that a worker keeps of words and their ids, and of parts and theirs.
+MOST_BYTES = 16_000_000
 #: Parts that the library encodes as one text.
 PARTS_A_TEXT = 400
+#: Texts of a call to the library, whose results take some hundred bytes a token until they are copied.
+TEXTS_A_CALL = 64
 #: The vocabulary's own splitter; the same parts of a lower-case word of ASCII and the letters U+00C0 to U+00FF; and such words.
 SPLITTER = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 PARTS = "('s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+)"
@@ -57,6 +59,42 @@ def _bytes(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8), ends
 
 
+def _binary(data: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """A binary array of such data and ends."""
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data)])
+
+
+class Known:
+    """Words and their ids as two Arrow arrays, without a Python object for each.
+
+    They hold at most MOST_BYTES however many words there are and however long; beyond that
+    the words of the last call stay, if they fit.
+    """
+
+    def __init__(self):
+        self.clear()
+
+    def clear(self) -> None:
+        self.words, self.ids = pa.array([""], pa.string()), pa.array([b""], pa.binary())
+
+    def look_up(self, words: pa.Array, learn: Callable[[pa.Array], pa.Array]) -> pa.Array:
+        """The ids of distinct words; ``learn`` works out those of new ones."""
+        at = pc.index_in(words, value_set=self.words)
+        if not at.null_count:
+            return self.ids.take(at)
+        new = words.filter(at.is_null())
+        all_words, all_ids = pa.concat_arrays([self.words, new]), pa.concat_arrays([self.ids, learn(new)])
+        at = at.fill_null(-1).to_numpy().copy()
+        at[at < 0] = np.arange(len(self.words), len(all_words))
+        ids = all_ids.take(pa.array(at))
+        if all_words.nbytes + all_ids.nbytes > MOST_BYTES:
+            self.clear()
+            all_words, all_ids = pa.concat_arrays([self.words, words]), pa.concat_arrays([self.ids, ids])
+        if all_words.nbytes + all_ids.nbytes <= MOST_BYTES:
+            self.words, self.ids = all_words, all_ids
+        return ids
+
+
 class WordIds:
     """Ids of words as little-endian 32-bit numbers, each word worked out once by the library.
 
@@ -78,53 +116,43 @@ class WordIds:
         vocab = self.tokenizer.get_vocab()
         self.ends_word = np.zeros(max(vocab.values()) + 1, bool)
         self.ends_word[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        self.clear()
+        self.words, self.parts = Known(), Known()
 
-    def clear(self) -> None:
-        self.words: dict[str, bytes] = {"": b""}
-        self.parts: dict[str, bytes] = {"": b""}
-
-    def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    @staticmethod
+    def _library(tokenizer: Tokenizer, texts: list[str]) -> list[bytes]:
+        calls = (tokenizer.encode_batch_fast(texts[at : at + TEXTS_A_CALL], add_special_tokens=False) for at in range(0, len(texts), TEXTS_A_CALL))
+        return [np.array(e.ids, "<u4").tobytes() for call in calls for e in call]
 
-    def _learn_parts(self, parts: list[str]) -> None:
+    def _learn_parts(self, column: pa.Array) -> pa.Array:
+        parts = strings(column)
         texts = [" ".join(parts[at : at + PARTS_A_TEXT]) for at in range(0, len(parts), PARTS_A_TEXT)]
-        ids = np.concatenate([np.array(e.ids, "<u4") for e in self.of_parts.encode_batch_fast(texts, add_special_tokens=False)])
-        ends = 4 * (np.flatnonzero(self.ends_word[ids]) + 1)
-        if len(ends) != len(parts):
+        ids = np.frombuffer(b"".join(self._library(self.of_parts, texts)), "<u4")
+        ends = np.append(0, 4 * (np.flatnonzero(self.ends_word[ids]) + 1))
+        if len(ends) != len(parts) + 1:
             raise ValueError("a part isn't one word of the vocabulary's splitter")
-        raw = ids.tobytes()
-        self.parts.update((p, raw[a:b]) for p, a, b in zip(parts, [0, *ends[:-1].tolist()], ends.tolist(), strict=True))
+        return _binary(ids.view(np.uint8), ends)
 
-    def _learn(self, words: list[str]) -> None:
-        column = pa.array(words, pa.string())
+    def _learn(self, column: pa.Array) -> pa.Array:
         plain = pc.and_(pc.match_substring_regex(column, PLAIN), pc.invert(pc.match_substring(column, "<|")))
-        if rest := column.filter(pc.invert(plain)).to_pylist():
-            self.words.update(zip(rest, self._library(rest), strict=True))
-        column = column.filter(plain)
-        split = pc.ascii_split_whitespace(pc.replace_substring_regex(pc.utf8_lower(column), PARTS, r"\1 "))
+        rest = pa.array(self._library(self.tokenizer, column.filter(pc.invert(plain)).to_pylist()), pa.binary())
+        split = pc.ascii_split_whitespace(pc.replace_substring_regex(pc.utf8_lower(column.filter(plain)), PARTS, r"\1 "))
         coded = split.flatten().dictionary_encode()
-        names = strings(coded.dictionary)
-        if new := [p for p in names if p not in self.parts]:
-            self._learn_parts(new)
-        data, ends = _bytes(pa.array([self.parts[p] for p in names], pa.binary()).take(coded.indices))
-        raw, cuts = data.tobytes(), ends[split.offsets.to_numpy()].tolist()
-        self.words.update((w, raw[a:b]) for w, a, b in zip(strings(column), cuts[:-1], cuts[1:], strict=True))
+        data, ends = _bytes(self.parts.look_up(coded.dictionary, self._learn_parts).take(coded.indices))
+        both = pa.concat_arrays([_binary(data, ends[split.offsets.to_numpy()]), rest])
+        order = np.argsort(~plain.to_numpy(zero_copy_only=False), kind="stable")  # plain words first, as in ``both``
+        at = np.empty(len(order), np.int64)
+        at[order] = np.arange(len(order))
+        return both.take(pa.array(at))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after the other, and where each text's begin and end. A null text is empty."""
         texts = pc.fill_null(texts.cast(pa.string()), "")
         if not self.by_words:
-            ids = self._library(texts.to_pylist())
+            ids = self._library(self.tokenizer, texts.to_pylist())
             return np.frombuffer(b"".join(ids), "<u4"), np.cumsum([0, *(len(x) // 4 for x in ids)])
-        if len(self.words) > MOST_WORDS:
-            self.clear()
         split = pc.ascii_split_whitespace(texts)
         coded = split.flatten().dictionary_encode()
-        words = strings(coded.dictionary)
-        if new := [w for w in words if w not in self.words]:
-            self._learn(new)
-        data, ends = _bytes(pa.array([self.words[w] for w in words], pa.binary()).take(coded.indices))
+        data, ends = _bytes(self.words.look_up(coded.dictionary, self._learn).take(coded.indices))
         return data.view("<u4"), ends[split.offsets.to_numpy()] // 4
 
 

@@ -1,6 +1,7 @@
 """Pieces against the library, and packings against their bounds."""
 
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -34,6 +35,34 @@ def test_tokens():
     assert again.tolist() == ids.tolist()
 
 
+@pytest.mark.parametrize("most", [1, 3_000, 40_000])
+def test_tokens_beyond_what_is_kept(monkeypatch, most):
+    """Words that were dropped, and words that never fit, get the same ids again."""
+    monkeypatch.setattr(p, "MOST_BYTES", most)
+    tokenizer, known = Tokenizer.from_file(PATH), p.WordIds(PATH)
+    all_texts = texts()
+    for at in [*range(0, len(all_texts), 20), 0, 100]:
+        ids, cuts = known.encode(pa.array(all_texts[at : at + 20]))
+        for t, a, b in zip(all_texts[at : at + 20], cuts[:-1], cuts[1:], strict=True):
+            assert ids[a:b].tolist() == tokenizer.encode(t or "", add_special_tokens=False).ids
+        assert all(k.words.nbytes + k.ids.nbytes <= max(most, 17) for k in (known.words, known.parts))
+
+
+def test_kept_words_are_bounded():
+    """What a worker keeps of words has a bound in bytes, however many words there are and however long."""
+    known = p.WordIds(PATH)
+    known.encode(pa.array(["first words"]))
+    tracemalloc.start()
+    try:
+        before = tracemalloc.get_traced_memory()[0] + pa.total_allocated_bytes()
+        for at in range(0, 120_000, 10_000):
+            known.encode(pa.array([" ".join(f"{'abcdefghij'[i % 10] * (i % 23)}x{i}" for i in range(at, at + 10_000))]))
+            known.encode(pa.array([" ".join(f"{i}:" + "long-" * 300 for i in range(at // 20, at // 20 + 500))]))
+        assert tracemalloc.get_traced_memory()[0] + pa.total_allocated_bytes() - before < 2 * 16_000_000 + 1_000_000
+    finally:
+        tracemalloc.stop()
+
+
 def test_blocks():
     column = pa.array(["a" * 10, None, "b" * 100, "", "c" * 30, "d" * 30, "e" * 50])
     assert [*p.blocks(column, 60)] == [(0, 2), (2, 3), (3, 6), (6, 7)] and [*p.blocks(pa.array([], pa.string()), 60)] == []
