@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import base64
 import warnings
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+from pyspark import RDD, StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,10 +80,42 @@ def chunks(x: np.ndarray, k: int) -> Iterator[np.ndarray]:
 
 def nearest(x: np.ndarray, codes: np.ndarray, metric: Metric) -> np.ndarray:
     """0-based nearest unit of each row; of equal ones the lowest."""
+    if metric in ("euclidean", "sqeuclidean"):
+        return _nearest_by_product(x, codes, metric)
     parts = [distances(c, codes, metric).argmin(axis=1) for c in chunks(x, len(codes))]
     return np.concatenate(parts) if parts else np.zeros(0, np.int64)
 
 
+def _nearest_by_product(x: np.ndarray, codes: np.ndarray, metric: Metric) -> np.ndarray:
+    """The same units from one matrix product, with distances only for rows that its rounding leaves in doubt.
+
+    Of a row and all units, |c|^2 / 2 - x c orders the units as the distances do. Rounding moves it and half the
+    squared distances by less than 4 d + 24 times epsilon times (|x|^2 + |c|^2), square roots that become equal
+    included; a row with one unit within ``slack`` of the least is settled. Overflow and NaN leave a row in doubt.
+    """
+    k, d = codes.shape
+    with np.errstate(over="ignore", invalid="ignore"):
+        middle = codes.mean(axis=0)
+        shifted = codes - middle
+        half = (shifted * shifted).sum(axis=1)[:, None] / 2
+        most, share = 2 * half.max(), 16 * (d + 8) * np.finfo(float).eps
+        ids = np.arange(k, dtype=np.min_scalar_type(k))[:, None]
+        unit = np.empty(len(x), np.int64)
+        step = max(64, min(1 << 16, (1 << 18) // max(1, d)) // k)  # arrays that stay in cache, products too small for threads
+        for at in range(0, len(x), step):
+            rows = x[at : at + step]
+            y = rows - middle
+            gaps = shifted @ y.T
+            np.subtract(half, gaps, out=gaps)
+            slack = share * (np.einsum("ij,ij->i", y, y) + most) + 1e-300
+            close = gaps <= gaps.min(axis=0) + slack
+            unit[at : at + step] = (close * ids).sum(axis=0, dtype=ids.dtype)
+            doubt = np.flatnonzero(close.sum(axis=0, dtype=ids.dtype) != 1)
+            if len(doubt):
+                unit[at + doubt] = distances(rows[doubt], codes, metric).argmin(axis=1)
+    return unit
+
+
 def _doubles(df: DataFrame, cols: list[str]) -> DataFrame:
     return df.select(*[F.col(c).cast("double").alias(c) for c in cols])
 
@@ -95,16 +129,9 @@ def epoch_sums(df: DataFrame, cols: list[str], codes: np.ndarray, metric: Metric
     schema = "id int, n long, " + ", ".join(f"s{j} double" for j in range(d))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        k = len(codes)
-        n, sums = np.zeros(k, np.int64), np.zeros((d, k))
-        for batch in batches:
-            x = matrix(batch, names)
-            unit = nearest(x, codes, metric)
-            n += np.bincount(unit, minlength=k)
-            for j in range(d):
-                sums[j] += np.bincount(unit, x[:, j], k)
+        n, sums = _unit_sums((matrix(batch, names) for batch in batches), codes, metric)
         some = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array((some + 1).astype(np.int32)), pa.array(n[some]), *(pa.array(sums[j][some]) for j in range(d))], schema=_arrow(d))
+        yield pa.RecordBatch.from_arrays([pa.array((some + 1).astype(np.int32)), pa.array(n[some]), *(pa.array(sums[some, j]) for j in range(d))], schema=_arrow(d))
 
     return _doubles(df, cols).mapInArrow(run, schema).groupBy("id").agg(F.sum("n").alias("n"), *[F.sum(f"s{j}").alias(f"s{j}") for j in range(d)])
 
@@ -113,6 +140,46 @@ def _arrow(d: int) -> pa.Schema:
     return pa.schema([("id", pa.int32()), ("n", pa.int64()), *((f"s{j}", pa.float64()) for j in range(d))])
 
 
+def _unit_sums(parts: Iterable[np.ndarray], codes: np.ndarray, metric: Metric) -> tuple[np.ndarray, np.ndarray]:
+    """Per unit the number of rows and their sums (k, d)."""
+    k, d = codes.shape
+    n, sums = np.zeros(k, np.int64), np.zeros((k, d))
+    for x in parts:
+        unit = nearest(x, codes, metric)
+        n += np.bincount(unit, minlength=k)
+        for j in range(d):
+            sums[:, j] += np.bincount(unit, x[:, j], k)
+    return n, sums
+
+
+def blocks(df: DataFrame, cols: list[str]) -> RDD:
+    """The matrix in parts of some thousand rows as bytes, which pass to Python without a conversion of every row.
+
+    On their one way from Arrow to the RDD they are text: Spark pickles binary values slowly.
+    """
+    names, d = list(cols), len(cols)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x in chunks(matrix(batch, names), d):
+                yield pa.RecordBatch.from_arrays([pa.array([base64.b64encode(x.tobytes()).decode()])], names=["x"])
+
+    return _doubles(df, cols).mapInArrow(pack, "x string").rdd.map(lambda r: base64.b64decode(r["x"]))
+
+
+def block_sums(parts: RDD, codes: np.ndarray, metric: Metric = "euclidean") -> tuple[np.ndarray, np.ndarray]:
+    """Rows and sums of each unit over ``blocks``, added up in a tree so that the driver gets few values."""
+    k, d = codes.shape
+
+    def run(part: Iterator[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        yield _unit_sums((np.frombuffer(b).reshape(-1, d) for b in part), codes, metric)
+
+    def add(a: tuple, b: tuple) -> tuple:
+        return a[0] + b[0], a[1] + b[1]
+
+    return parts.mapPartitions(run).treeAggregate((np.zeros(k, np.int64), np.zeros((k, d))), add, add)
+
+
 def train_som(
     som: Som,
     df: DataFrame,
@@ -127,7 +194,7 @@ def train_som(
     each_epoch: Callable[[int, float, Som], None] | None = None,
     on_empty: str = "keep",
 ) -> Som:
-    """Batch training: one job an epoch over ``df``, which should be persisted or cheap to read.
+    """Batch training: ``df`` is read once and kept in blocks (persisted in memory and on disk); one job an epoch over these.
 
     ``r_start`` of zero stands for half the sum of the map's sides. A unit that no row reaches
     through the kernel keeps its code (``on_empty="keep"``, with a warning) or becomes NaN
@@ -142,25 +209,28 @@ def train_som(
     if each_epoch:
         each_epoch(0, r_start, som)
     codes = som.codes.copy()
-    for epoch in range(1, epochs + 1):
-        n, sums = np.zeros(som.n_codes), np.zeros_like(codes)
-        for r in epoch_sums(df, cols, codes, metric).collect():  # at most one row a unit
-            n[r["id"] - 1] = r["n"]
-            sums[r["id"] - 1] = [r[f"s{j}"] for j in range(len(cols))]
-        now = radius(float(r_start), float(r_final), epoch, epochs)
-        if now <= 0:
-            raise ValueError("the radius must be positive")
-        w = kernel(between, now)
-        mass = w @ n
-        with np.errstate(invalid="ignore", divide="ignore"):
-            new = (w @ sums) / mass[:, None]
-        if on_empty == "keep" and (mass == 0).any():
-            warnings.warn("some units have no rows within the kernel; they keep their codes", stacklevel=2)
-            new[mass == 0] = codes[mass == 0]
-        codes = new
-        som = replace(som, codes=codes, cols=tuple(cols))
-        if each_epoch:
-            each_epoch(epoch, now, som)
+    parts = blocks(df, cols)
+    if epochs > 1:
+        parts.persist(StorageLevel.MEMORY_AND_DISK_DESER)
+    try:
+        for epoch in range(1, epochs + 1):
+            n, sums = block_sums(parts, codes, metric)
+            now = radius(float(r_start), float(r_final), epoch, epochs)
+            if now <= 0:
+                raise ValueError("the radius must be positive")
+            w = kernel(between, now)
+            mass = w @ n
+            with np.errstate(invalid="ignore", divide="ignore"):
+                new = (w @ sums) / mass[:, None]
+            if on_empty == "keep" and (mass == 0).any():
+                warnings.warn("some units have no rows within the kernel; they keep their codes", stacklevel=2)
+                new[mass == 0] = codes[mass == 0]
+            codes = new
+            som = replace(som, codes=codes, cols=tuple(cols))
+            if each_epoch:
+                each_epoch(epoch, now, som)
+    finally:
+        parts.unpersist()
     return som
 
 

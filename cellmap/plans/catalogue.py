@@ -255,11 +255,7 @@ def _codes(spark, m: som.Som, digits: int = 5) -> DataFrame:
 
 def _train(epochs, kernel=g.gaussian_kernel, radius=EXP5, r_start=0.0, r_final=0.1):
     def run(spark, d):
-        data = scaled(spark, d).persist()
-        try:
-            return _codes(spark, som.train_som(MAP, data, LINE, kernel=kernel, radius=radius, r_start=r_start, r_final=r_final, epochs=epochs))
-        finally:
-            data.unpersist()
+        return _codes(spark, som.train_som(MAP, scaled(spark, d), LINE, kernel=kernel, radius=radius, r_start=r_start, r_final=r_final, epochs=epochs))
 
     return run
 

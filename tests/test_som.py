@@ -128,3 +128,55 @@ def test_save(spark, data, tmp_path):
     m.save(spark, str(tmp_path / "som"))
     back = som.Som.load(spark, str(tmp_path / "som"), tuple(COLS))
     assert np.array_equal(back.codes, m.codes) and np.array_equal(back.grid, m.grid) and (back.xdim, back.ydim) == (3, 2)
+
+
+def test_training_reads_once(spark, data, cells):
+    """All epochs take one pass over the input; three passes before."""
+    read = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    t = som.train_som(som.init_som(data, COLS, 5, seed=1), data.select(*COLS).mapInArrow(count, "a double, b double, c double, d double"), epochs=3)
+    assert read.value == len(cells)
+    assert np.allclose(t.codes, plain_train(cells, som.init_som(data, COLS, 5, seed=1), 3, g.exp_radius(-5.0)))
+    with pytest.raises(Exception, match="null in b"):
+        som.train_som(t, data.withColumn("b", F.lit(None).cast("double")), epochs=2)
+    none = spark.createDataFrame([], "a double, b double, c double, d double")
+    with pytest.warns(UserWarning, match="no rows"):
+        assert np.array_equal(som.train_som(t, none, epochs=2).codes, t.codes)
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "sqeuclidean"])
+@pytest.mark.parametrize("kind", ["plain", "ties", "far", "near", "equal", "huge", "tiny", "odd", "lost", "many", "wide", "none"])
+def test_nearest_is_least_distance(kind, metric):
+    """The units of a matrix product are those of the distances, in ties and where numbers lose digits, too."""
+    rng = np.random.default_rng(8)
+    codes, x = rng.normal(size=(25, 4)), rng.normal(size=(5000, 4))
+    if kind == "ties":
+        codes, x = rng.integers(-2, 3, (25, 4)).astype(float), rng.integers(-4, 5, (5000, 4)) / 2
+    elif kind == "far":
+        codes, x = codes + 1e9, x + 1e9
+    elif kind == "near":
+        codes = 1 + rng.integers(0, 9, (25, 4)) * 2.0**-52
+    elif kind == "equal":
+        codes[:] = codes[0]
+    elif kind == "huge":
+        codes, x = codes * 1e160, x * 10.0 ** rng.integers(100, 300, (5000, 1))
+    elif kind == "tiny":
+        codes, x = codes * 1e-162, x * 1e-162
+    elif kind == "odd":
+        x[::3, 1], x[1::7, 2], x[2::7, 0] = np.nan, np.inf, -np.inf
+    elif kind == "lost":
+        codes[7] = np.nan
+    elif kind == "many":
+        codes = rng.normal(size=(300, 4))
+    elif kind == "wide":
+        codes, x = rng.normal(size=(40, 64)), rng.normal(size=(900, 64))
+    elif kind == "none":
+        x = x[:0]
+    with np.errstate(all="ignore"):
+        want = g.distances(x, codes, metric).argmin(axis=1)
+        assert np.array_equal(som.nearest(x, codes, metric), want)
