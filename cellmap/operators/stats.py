@@ -47,7 +47,7 @@ def dmedian(df: DataFrame, cols: list[str], approximate: bool = False) -> DataFr
     """Exact medians of numbers; nulls don't count and NaN is the largest.
 
     ``df`` is read several times (once to count, then mostly twice) and should give the same
-    rows each time. No task gets more than ``BINS`` or ``FEW`` rows of a column.
+    rows each time. Of a column a task passes on at most about ``BINS`` or ``FEW`` counts, never all its values.
     """
     if approximate or df.isStreaming:
         return df.agg(*medians(cols, approximate))
